@@ -31,21 +31,24 @@ def with_window_index(windows: DataFrame) -> DataFrame:
     )
 
 
-def with_trailing(windows: DataFrame, lookback: int, chunk: int = WINDOWS_PER_CHUNK):
-    """Rows cut into (symbol, chunk) with the ``lookback`` rows before each chunk.
+def with_neighbours(windows: DataFrame, before: int, after: int = 0, chunk: int = WINDOWS_PER_CHUNK):
+    """Rows cut into (symbol, chunk), with the rows just outside each chunk copied in.
 
-    Returns the frame and the key columns. A frame of at most ``lookback``
-    preceding rows over those keys sees exactly what it would see over the whole
-    symbol, while a symbol with millions of windows spreads over many tasks.
-    Drop rows with ``_copy`` afterwards.
+    Returns the frame and the key columns. A frame reaching at most ``before``
+    rows back and ``after`` rows on sees over those keys exactly what it would see
+    over the whole symbol, while a symbol with millions of windows spreads over
+    many tasks. Drop rows with ``_copy`` afterwards.
     """
-    chunk = max(chunk, lookback)
+    chunk = max(chunk, before, after)
     mine = F.floor(F.col("window_index") / chunk)
-    tail = F.col("window_index") % chunk >= chunk - lookback
-    targets = F.when(tail, F.array(mine, mine + 1)).otherwise(F.array(mine))
-    spread = windows.withColumn("_chunk", F.explode(targets)).withColumn(
-        "_copy", F.col("_chunk") > F.floor(F.col("window_index") / chunk)
-    )
+    place = F.col("window_index") % chunk
+    targets = F.array_compact(F.array(
+        mine,
+        F.when(place >= chunk - before, mine + 1),
+        F.when((place < after) & (mine > 0), mine - 1),
+    ))
+    spread = windows.withColumn("_mine", mine).withColumn("_chunk", F.explode(targets))
+    spread = spread.withColumn("_copy", F.col("_chunk") != F.col("_mine")).drop("_mine")
     return spread, ["symbol", "_chunk"]
 
 
@@ -71,7 +74,7 @@ def score_volume(
     """
     if "window_index" not in windows.columns:
         windows = with_window_index(windows)
-    spread, keys = with_trailing(windows, lookback, chunk)
+    spread, keys = with_neighbours(windows, lookback, 0, chunk)
     n, mean, std = baseline(keys, lookback)
     ready = (F.col("window_index") >= warmup) & (F.col("_n") >= S.VOLUME_MIN_HISTORY) & (F.col("_s") > 0)
     z = F.when(ready, (F.col("volume") - F.col("_m")) / F.col("_s"))
