@@ -9,7 +9,14 @@ from tickscope import schemas as S
 from tickscope.functions import text as X
 
 
-def envelopes(bad: DataFrame, failed_at: Column | None = None, error_class: str = S.TICK_ERROR_CLASS) -> DataFrame:
+def _one_line_base64(value: Column) -> Column:
+    """Base64 without the line breaks Spark puts after every 76 characters."""
+    return F.translate(F.base64(value), "\r\n", "")
+
+
+def envelopes(
+    bad: DataFrame, failed_at: Column | None = None, error_class: str = S.TICK_ERROR_CLASS
+) -> DataFrame:
     """One envelope per rejected message, keyed by where the message came from.
 
     ``bad`` has the raw message columns and ``error``. The raw bytes travel as
@@ -22,7 +29,7 @@ def envelopes(bad: DataFrame, failed_at: Column | None = None, error_class: str
         F.col("partition").alias("original_partition"),
         F.col("offset").alias("original_offset"),
         F.when(F.length("key") > 0, key_text).alias("original_key"),
-        F.coalesce(F.base64(F.coalesce(F.col("value"), F.lit(b""))), F.lit("")).alias("raw_value_b64"),
+        _one_line_base64(F.coalesce(F.col("value"), F.lit(b""))).alias("raw_value_b64"),
         F.concat(F.lit(f"{error_class}: "), F.col("error")).alias("error"),
         X.iso_text(at).alias("failed_at"),
     )

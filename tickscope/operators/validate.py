@@ -32,12 +32,13 @@ def validate_ticks(raw: DataFrame, value: str = "value") -> DataFrame:
         .withColumn("_json", F.col("_utf8") & X.is_single_json(F.col("_text")))
         .withColumn("_keys", F.when(F.col("_json"), F.json_object_keys(F.col("_text"))))
         .withColumn("tick", F.when(F.col("_keys").isNotNull(), F.from_json("_text", S.TICK_FIELDS)))
+        .withColumn("_ts", X.iso_timestamp(F.col("tick.timestamp")))
     )
     kind = F.col("tick.type")
     absent = F.when(kind == "trade", X.missing_keys(S.TRADE_KEYS, F.col("_keys"))).when(
         kind == "quote", X.missing_keys(S.QUOTE_KEYS, F.col("_keys"))
     )
-    ts = X.iso_timestamp(F.col("tick.timestamp"))
+    ts = F.col("_ts")
     error = _key_errors([
         (F.col(value).isNull(), F.lit("not valid json: null value")),
         (~F.col("_utf8"), F.lit("not valid utf-8: undecodable bytes")),
@@ -57,7 +58,11 @@ def validate_ticks(raw: DataFrame, value: str = "value") -> DataFrame:
         )
     ]
     # The Kafka source has a column called ``timestamp`` too: the tick's is ``ts``.
-    return checked.select(*[F.col(c) for c in raw.columns], error.alias("error"), ts.alias("ts"), *typed)
+    # The result comes out of a generator because filters are not pushed below
+    # one: a filter on ``error`` pushed into the projections above would repeat
+    # the JSON parsing many times over.
+    result = F.array(F.struct(error.alias("error"), ts.alias("ts"), *typed))
+    return checked.select(*raw.columns, F.inline(result))
 
 
 def valid_ticks(validated: DataFrame) -> DataFrame:
