@@ -57,23 +57,22 @@ def union_events(volume: DataFrame, regime: DataFrame) -> DataFrame:
 
 def with_details(events: DataFrame) -> DataFrame:
     """Add ``details``, the event's JSON payload with ISO timestamps."""
-    iso = events.withColumns({
-        "window_start": X.iso_text(F.col("window_start")),
-        "window_end": X.iso_text(F.col("window_end")),
-    })
 
     def body(names):
-        fields = [F.col(n) for n in names]
+        fields = [
+            (X.iso_text(F.col(n)) if n in ("window_start", "window_end") else F.col(n)).alias(n)
+            for n in names
+        ]
         return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
 
-    known = F.when(F.col("anomaly_type") == S.VOLUME_ANOMALY, body(VOLUME_PAYLOAD)).when(
-        F.col("anomaly_type") == S.REGIME_CHANGE, body(REGIME_PAYLOAD)
-    ).otherwise(F.raise_error(F.concat(
-        F.lit("unknown anomaly event type: "), F.coalesce(F.col("anomaly_type"), F.lit("null")))))
-    return iso.withColumn("details", known).withColumns({
-        "window_start": X.iso_timestamp(F.col("window_start")),
-        "window_end": X.iso_timestamp(F.col("window_end")),
-    })
+    kind = F.col("anomaly_type")
+    unknown = F.concat(F.lit("unknown anomaly event type: "), F.coalesce(kind, F.lit("null")))
+    details = (
+        F.when(kind == S.VOLUME_ANOMALY, body(VOLUME_PAYLOAD))
+        .when(kind == S.REGIME_CHANGE, body(REGIME_PAYLOAD))
+        .otherwise(F.raise_error(unknown))
+    )
+    return events.withColumn("details", details)
 
 
 def event_messages(events: DataFrame) -> DataFrame:

@@ -38,19 +38,25 @@ def chunk_hot_keys(
     extra join. Only the counting job and, for hot keys, the border table run
     here; the result is lazy.
     """
-    bits = max(0, rows_per_chunk.bit_length() - 5)
-    bucket = F.shiftright(F.col(order).cast("bigint"), bits)
-    counts = rows.groupBy(key, bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    hot = counts.groupBy(key).agg(F.sum("n").alias("total")).where(F.col("total") > rows_per_chunk)
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("total"))
+    hot = sizes.where(F.col("total") > rows_per_chunk)
     found = hot.agg(F.count(F.lit(1)).alias("keys"), F.sum("total").alias("rows")).first()
     if found["keys"] == 0:
         return None
 
+    bits = max(0, rows_per_chunk.bit_length() - 5)
+    bucket = F.shiftright(F.col(order).cast("bigint"), bits)
+    hot_keys = small_side(hot.select(key), found["keys"])
+    counts = (
+        rows.join(hot_keys, key, "left_semi")
+        .groupBy(key, bucket.alias("bucket"))
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
     ensure_checkpoint_dir(rows.sparkSession)
     before = Window.partitionBy(key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    rows_before = F.coalesce(F.sum("n").over(before), F.lit(0))
     borders = (
-        counts.join(small_side(hot.select(key), found["keys"]), key, "left_semi")
-        .withColumn("chunk", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / rows_per_chunk))
+        counts.withColumn("chunk", F.floor(rows_before / rows_per_chunk))
         .select(key, "bucket", "chunk")
         .checkpoint()
     )
