@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickscope import schemas as S
@@ -16,7 +16,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _trades(events: DataFrame, symbol) -> DataFrame:
+def trades(events: DataFrame, symbol) -> DataFrame:
+    """Events as trades of ``symbol``; the event id is the arrival order."""
     return events.select(
         symbol.alias("symbol"), F.col("event_id").alias("arrival"),
         F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"),
@@ -26,12 +27,12 @@ def _trades(events: DataFrame, symbol) -> DataFrame:
 
 def trades_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Few symbols with long series: the event type."""
-    return _trades(table(spark, sf_dir, "events"), F.col("event_type"))
+    return trades(table(spark, sf_dir, "events"), F.col("event_type"))
 
 
 def trades_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Many symbols: the user."""
-    return _trades(table(spark, sf_dir, "events"), F.col("user_id").cast("string"))
+    return trades(table(spark, sf_dir, "events"), F.col("user_id").cast("string"))
 
 
 def messages(events: DataFrame) -> DataFrame:
@@ -149,8 +150,6 @@ def delivery_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lag_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per event type, the events still to come after each hour."""
-    from pyspark.sql import Window
-
     ts = F.col("ts").cast("timestamp")
     hourly = table(spark, sf_dir, "events").groupBy(
         F.col("event_type").alias("run"), F.floor(F.unix_timestamp(ts) / 3600).alias("hour")

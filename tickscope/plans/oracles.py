@@ -396,3 +396,5 @@ SELECT run, CAST(max(size) AS BIGINT) AS burst_size, round(max(size) / max(secs)
 FROM samples GROUP BY run""",
     "detector_sweep": _sweep(),
 }
+ORACLES["streamed_window_scores"] = ORACLES["volume_scores"]
+ORACLES["streamed_dead_letters"] = ORACLES["dead_letter_envelopes"]

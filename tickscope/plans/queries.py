@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickscope import schemas as S
+from tickscope.functions.series import DetectorParams
 from tickscope.operators import (
     anchored, crossref, deadletter, delivery, evaluate, events, factors, normalise, offsets,
     regime, universe, upsert, validate, views, volume,
 )
 from tickscope.plans import inputs as I
-from tickscope.session import apply_runtime_settings
+from tickscope.session import apply_runtime_settings, ensure_checkpoint_dir
+from tickscope.streaming.detector import detect
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -109,8 +112,6 @@ def _summary_columns():
 
 
 def log_returns(spark, sf):
-    from pyspark.sql import Window
-
     rows = I.trades_by_type(spark, sf)
     previous = F.lag("price").over(Window.partitionBy("symbol").orderBy("arrival"))
     return rows.withColumn("previous_price", previous).select(
@@ -481,6 +482,38 @@ def detector_sweep(spark, sf):
     )
 
 
+# --- the same through Structured Streaming -----------------------------------------------
+
+EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
+
+
+def _drained(spark, sf, transform) -> DataFrame:
+    """Rows of a stream over the events table, run until it has read everything."""
+    place = f"{ensure_checkpoint_dir(spark)}/streams/{uuid.uuid4().hex}"
+    source = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 64)
+    rows = transform(source.parquet(f"{sf}/events*.parquet"))
+    writer = rows.writeStream.format("parquet").option("path", f"{place}/rows")
+    query = writer.option("checkpointLocation", f"{place}/progress").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{place}/rows")
+
+
+def streamed_window_scores(spark, sf):
+    params = DetectorParams(window_seconds=I.LONG_WINDOW_SECONDS)
+    rows = _drained(spark, sf, lambda events: detect(I.trades(events, F.col("event_type")), params))
+    return rows.select(
+        "symbol", "window_index", F.unix_micros("window_start").alias("start_us"), _r("volume"),
+        _r("score_mean"), _r("score_std"), _r("anomaly_score"), "is_volume_anomaly",
+    )
+
+
+def streamed_dead_letters(spark, sf):
+    def transform(events):
+        return deadletter.envelopes(validate.rejected(validate.validate_ticks(I.messages(events))))
+
+    return _drained(spark, sf, transform).drop("failed_at")
+
+
 QUERIES: tuple[Query, ...] = (
     tick_validation, valid_and_rejected_counts, dead_letter_envelopes, dead_letter_inspect,
     dead_letter_replay, valid_trades, tick_messages, log_returns, anchored_windows,
@@ -492,7 +525,7 @@ QUERIES: tuple[Query, ...] = (
     consumer_lag, start_offsets, topic_sizes, status_report, factor_scores, factor_moves,
     factor_moves_sparse, sharp_moves, cross_reference, match_summary, universe_ticks,
     ticker_union, prices_between, delivery_audit, delivery_summary, drain_summary,
-    detector_sweep,
+    detector_sweep, streamed_window_scores, streamed_dead_letters,
 )
 
 
