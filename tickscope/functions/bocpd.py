@@ -33,81 +33,92 @@ class RegimeParams:
 
 
 def _logsumexp(values: np.ndarray) -> float:
-    top = values.max()
-    return -math.inf if top == -math.inf else top + math.log(np.exp(values - top).sum())
+    top = np.maximum.reduce(values)
+    return -math.inf if top == -math.inf else top + math.log(np.add.reduce(np.exp(values - top)))
 
 
-class _StudentTable:
-    """The part of the predictive density that depends on run length only."""
+class RunTable:
+    """Per run length: what of the predictive density and update depends on it alone.
+
+    Rows: constant of the log density, exponent, weight of the squared gap in
+    beta, step of the mean. Shared by all series a worker handles.
+    """
 
     def __init__(self, params: RegimeParams):
         self.params = params
-        self.values = np.empty(0)
+        self.values = np.empty((4, 0))
 
     def upto(self, longest: int) -> np.ndarray:
-        if longest >= len(self.values):
-            size = max(256, 2 * (longest + 1))
-            alpha = self.params.alpha0 + 0.5 * np.arange(len(self.values), size)
-            fresh = [
-                math.lgamma(a + 0.5) - math.lgamma(a) - 0.5 * math.log(2.0 * a * math.pi)
-                for a in alpha.tolist()
-            ]
-            self.values = np.concatenate([self.values, fresh])
+        known = self.values.shape[1]
+        if longest >= known:
+            p = self.params
+            run = np.arange(known, max(256, 2 * (longest + 1)))
+            kappa, alpha = p.kappa0 + run, p.alpha0 + 0.5 * run
+            gammas = np.array([math.lgamma(a + 0.5) - math.lgamma(a) for a in alpha.tolist()])
+            fresh = np.stack([
+                gammas - 0.5 * np.log(2.0 * math.pi * (kappa + 1.0) / kappa),
+                alpha + 0.5,
+                kappa / (2.0 * (kappa + 1.0)),
+                1.0 / (kappa + 1.0),
+            ])
+            self.values = np.concatenate([self.values, fresh], axis=1)
         return self.values
 
 
 class RegimeDetector:
-    """Feed one value at a time; ``probability`` is P(run length <= short_run)."""
+    """Feed one value at a time; ``probability`` is P(run length <= short_run).
+
+    Growth and changepoint branches share one evidence term, so after dividing by
+    it the new run of length 0 always has the hazard's probability. Beta is kept
+    as its logarithm: the term the density needs is also what the update adds.
+    """
 
-    def __init__(self, params: RegimeParams = RegimeParams(), table: _StudentTable | None = None):
+    def __init__(self, params: RegimeParams = RegimeParams(), table: RunTable | None = None):
         self.params = params
-        self._table = table or _StudentTable(params)
+        self._table = table or RunTable(params)
         self._log_hazard = math.log(1.0 / params.hazard_lambda)
         self._log_stay = math.log1p(-1.0 / params.hazard_lambda)
         self._floor = math.log(params.prune_below)
         self.reset()
 
     def reset(self) -> None:
+        p = self.params
         self.updates = 0
         self.run = np.zeros(1, dtype=np.int64)
-        self.mean = np.full(1, self.params.mu0)
-        self.beta = np.full(1, self.params.beta0)
-        self.logp = np.zeros(1)
+        # Rows: log probability, mean, log beta.
+        self.now = np.array([[0.0], [p.mu0], [math.log(p.beta0)]])
 
     def state(self) -> tuple:
-        return (
-            self.updates, self.run.tolist(), self.mean.tolist(), self.beta.tolist(),
-            self.logp.tolist(),
-        )
+        return (self.updates, self.run.tolist(), *self.now.tolist())
 
     def restore(self, state: tuple) -> None:
         self.updates = int(state[0])
         self.run = np.asarray(state[1], dtype=np.int64)
-        self.mean, self.beta, self.logp = (np.asarray(v, dtype=float) for v in state[2:5])
+        self.now = np.asarray(state[2:5], dtype=float)
 
     def update(self, x: float) -> bool:
-        p = self.params
-        kappa = p.kappa0 + self.run
-        alpha = p.alpha0 + 0.5 * self.run
-        gap2 = np.square(x - self.mean)
-        scale2 = self.beta * (kappa + 1.0) / (alpha * kappa)
-        score = (
-            self._table.upto(int(self.run[-1]))[self.run]
-            - 0.5 * np.log(scale2)
-            - (alpha + 0.5) * np.log1p(gap2 / (2.0 * alpha * scale2))
-        )
-        joint = self.logp + score
-        logp = np.append(_logsumexp(joint) + self._log_hazard, joint + self._log_stay)
-        logp -= _logsumexp(logp)
-        keep = logp >= self._floor
+        p, run = self.params, self.run
+        logp, mean, log_beta = self.now
+        constant, exponent, weight, step = self._table.upto(int(run[-1])).take(run, axis=1)
+        gap = x - mean
+        growth = np.log1p(weight * gap * gap * np.exp(-log_beta))
+        joint = logp + constant - 0.5 * log_beta - exponent * growth
+        new = np.empty((3, len(run) + 1))
+        new[:, 0] = self._log_hazard, p.mu0, math.log(p.beta0)
+        np.subtract(joint, _logsumexp(joint) - self._log_stay, out=new[0, 1:])
+        np.add(mean, gap * step, out=new[1, 1:])
+        np.add(log_beta, growth, out=new[2, 1:])
+        longer = np.empty(len(run) + 1, dtype=np.int64)
+        longer[0] = 0
+        np.add(run, 1, out=longer[1:])
+        keep = new[0] >= self._floor
         keep[: p.short_run + 1] = True
-        self.logp = logp[keep]
-        self.run = np.append(0, self.run + 1)[keep]
-        self.mean = np.append(p.mu0, (kappa * self.mean + x) / (kappa + 1.0))[keep]
-        self.beta = np.append(p.beta0, self.beta + kappa * gap2 / (2.0 * (kappa + 1.0)))[keep]
+        if np.count_nonzero(keep) < len(longer):
+            new, longer = new.compress(keep, axis=1), longer.compress(keep)
+        self.now, self.run = new, longer
         self.updates += 1
         return self.updates > p.warmup and self.probability >= p.threshold
 
     @property
     def probability(self) -> float:
-        return math.exp(_logsumexp(self.logp[: self.params.short_run + 1]))
+        return sum(map(math.exp, self.now[0, : self.params.short_run + 1].tolist()))

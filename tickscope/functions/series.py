@@ -30,7 +30,7 @@ class DetectorParams:
 STATE = (
     "open_us BIGINT, window_index BIGINT, trades BIGINT, volume DOUBLE, ret_n BIGINT, ret_mean DOUBLE, "
     "ret_m2 DOUBLE, last_price DOUBLE, last_end_us BIGINT, history ARRAY<DOUBLE>, updates BIGINT, "
-    "run ARRAY<BIGINT>, mean ARRAY<DOUBLE>, beta ARRAY<DOUBLE>, logp ARRAY<DOUBLE>"
+    "run ARRAY<BIGINT>, logp ARRAY<DOUBLE>, mean ARRAY<DOUBLE>, log_beta ARRAY<DOUBLE>"
 )
 
 OUTPUT = (

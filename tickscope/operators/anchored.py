@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from tickscope import schemas as S
 from tickscope.functions.anchors import NEVER, StepTable, anchor_positions
-from tickscope.operators.hotkeys import ROWS_PER_CHUNK, Chunked, chunk_hot_keys, small_side
-from tickscope.session import ensure_checkpoint_dir
+from tickscope.operators.hotkeys import ROWS_PER_CHUNK, chunk_hot_keys
+from tickscope.session import written
 
 CHUNKS_PER_GROUP = 512
 
@@ -58,10 +58,9 @@ def assign_windows(
         )
     else:
         keys = ["symbol", "chunk"]
-        entries = small_side(_chunk_entries(chunked, width), chunked.max_chunks)
         ready = (
-            chunked.rows.withColumn("chunk", F.coalesce("chunk", F.lit(0)))
-            .join(entries, keys, "left")
+            chunked.withColumn("chunk", F.coalesce("chunk", F.lit(0)))
+            .join(_chunk_entries(chunked, width), keys, "left")
             .repartition(*keys)
         )
     previous = F.coalesce(
@@ -172,19 +171,18 @@ def _with_markers(batch, number, start, ts, closing) -> pa.RecordBatch:
     )
 
 
-def _chunk_entries(chunked: Chunked, width: int) -> DataFrame:
+def _chunk_entries(chunked: DataFrame, width: int) -> DataFrame:
     """Open window, window number and last price at the start of every chunk.
 
     Each chunk is turned into a step table on its own. Tables are combined per
     group of chunks, a symbol's groups are walked, then each group's chunks: no
     task sees more than a few hundred tables of one symbol.
     """
-    ensure_checkpoint_dir(chunked.rows.sparkSession)
-    hot = chunked.rows.where(F.col("chunk").isNotNull())
+    hot = chunked.where(F.col("chunk").isNotNull())
     keys = ["symbol", "chunk"]
     so_far = Window.partitionBy("symbol").orderBy("chunk")
     earlier = so_far.rowsBetween(Window.unboundedPreceding, -1)
-    heads = (
+    heads = written(
         hot.groupBy(*keys)
         .agg(F.max("ts_us").alias("top"), F.max_by("price", "arrival").alias("last_price"))
         .select(
@@ -192,7 +190,6 @@ def _chunk_entries(chunked: Chunked, width: int) -> DataFrame:
             F.coalesce(F.max("top").over(earlier), F.lit(NEVER)).alias("floor_us"),
             F.lag("last_price").over(so_far).alias("carried"),
         )
-        .checkpoint()
     )
 
     def steps_of_chunk(key, pdf):
@@ -201,13 +198,12 @@ def _chunk_entries(chunked: Chunked, width: int) -> DataFrame:
         return _table_rows([key], [table], ["symbol", "chunk"])
 
     group = F.floor(F.col("chunk") / CHUNKS_PER_GROUP).alias("block")
-    tables = (
+    tables = written(
         hot.select(*keys, "arrival", "ts_us")
-        .join(small_side(heads.select(*keys, "floor_us"), chunked.max_chunks), keys)
+        .join(heads.select(*keys, "floor_us"), keys)
         .groupBy(*keys)
         .applyInPandas(steps_of_chunk, f"symbol STRING, chunk BIGINT, {STEPS}")
         .select("*", group)
-        .checkpoint()
     )
 
     def combine(key, pdf):
@@ -249,7 +245,7 @@ def _chunk_entries(chunked: Chunked, width: int) -> DataFrame:
     )
     nothing = F.lit(None).cast("bigint")
     fresh = F.col("open_index") < 0
-    return (
+    return written(
         entries.join(heads.select(*keys, "carried"), keys)
         .select(
             *keys,
@@ -257,7 +253,6 @@ def _chunk_entries(chunked: Chunked, width: int) -> DataFrame:
             F.when(fresh, nothing).otherwise(F.col("open_index")).alias("open_index"),
             "carried",
         )
-        .checkpoint()
     )
 
 

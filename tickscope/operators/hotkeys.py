@@ -2,65 +2,41 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickscope.session import ensure_checkpoint_dir
+from tickscope.session import written
 
 ROWS_PER_CHUNK = 1 << 21
-BROADCAST_ROWS = 400_000  # rows of a few longs and a key: tens of megabytes at most
-
-
-def small_side(table: DataFrame, rows: int) -> DataFrame:
-    """Broadcast hint when a counted or proven bound allows; else Spark decides."""
-    return F.broadcast(table) if rows <= BROADCAST_ROWS else table
-
-
-@dataclass(frozen=True)
-class Chunked:
-    """``rows`` with a ``chunk`` number (null for keys left whole)."""
-
-    rows: DataFrame
-    max_chunks: int
 
 
 def chunk_hot_keys(
     rows: DataFrame, key: str, order: str, rows_per_chunk: int = ROWS_PER_CHUNK
-) -> Chunked | None:
+) -> DataFrame | None:
     """Chunk numbers, ascending in ``order``, for keys above ``rows_per_chunk``.
 
     ``order`` is an integer unique within a key. It is cut into equal buckets,
     rows are counted per bucket (combined map-side), and running counts give the
     chunk borders: a chunk holds at most ``rows_per_chunk`` rows plus one bucket.
-    Returns None when no key is hot, so that ordinary data takes a plan with no
-    extra join. Only the counting job and, for hot keys, the border table run
-    here; the result is lazy.
+    Adds a ``chunk`` column, null for keys left whole. Returns None when no key
+    is hot, so that ordinary data takes a plan with no extra join. Only the
+    counting job and, for hot keys, two small tables run here; the result is lazy.
     """
     sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("total"))
     hot = sizes.where(F.col("total") > rows_per_chunk)
-    found = hot.agg(F.count(F.lit(1)).alias("keys"), F.sum("total").alias("rows")).first()
-    if found["keys"] == 0:
+    if hot.isEmpty():
         return None
 
     bits = max(0, rows_per_chunk.bit_length() - 5)
     bucket = F.shiftright(F.col(order).cast("bigint"), bits)
-    hot_keys = small_side(hot.select(key), found["keys"])
     counts = (
-        rows.join(hot_keys, key, "left_semi")
+        rows.join(written(hot.select(key)), key, "left_semi")
         .groupBy(key, bucket.alias("bucket"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    ensure_checkpoint_dir(rows.sparkSession)
     before = Window.partitionBy(key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     rows_before = F.coalesce(F.sum("n").over(before), F.lit(0))
-    borders = (
-        counts.withColumn("chunk", F.floor(rows_before / rows_per_chunk))
-        .select(key, "bucket", "chunk")
-        .checkpoint()
-    )
-    chunked = rows.withColumn("bucket", bucket).join(
-        small_side(borders, borders.count()), [key, "bucket"], "left"
+    borders = written(
+        counts.withColumn("chunk", F.floor(rows_before / rows_per_chunk)).select(key, "bucket", "chunk")
     )
-    return Chunked(chunked.drop("bucket"), 2 * found["rows"] // rows_per_chunk + found["keys"])
+    return rows.withColumn("bucket", bucket).join(borders, [key, "bucket"], "left").drop("bucket")

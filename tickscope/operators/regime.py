@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickscope import schemas as S
-from tickscope.functions.bocpd import RegimeDetector, RegimeParams, _StudentTable
+from tickscope.functions.bocpd import RegimeDetector, RegimeParams, RunTable
 
 
 def log_volatility(volatility: Column) -> Column:
@@ -32,7 +32,7 @@ def score_series(
     key_at, value_at = series.columns.index(key), series.columns.index(value)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        detector = RegimeDetector(params, _StudentTable(params))
+        detector = RegimeDetector(params, RunTable(params))
         current = object()
         for batch in batches:
             keys = batch.column(key_at).to_pylist()

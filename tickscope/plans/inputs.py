@@ -16,6 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """More tasks for work that is heavy per row, where the scan has too few.
+
+    A file with a single row group gives one task. Tables with enough files are
+    left as they are, so nothing large is ever moved by this.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def trades(events: DataFrame, symbol) -> DataFrame:
     """Events as trades of ``symbol``; the event id is the arrival order."""
     return events.select(
@@ -81,7 +91,7 @@ def messages(events: DataFrame) -> DataFrame:
 
 
 def raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return messages(table(spark, sf_dir, "events"))
+    return messages(spread(table(spark, sf_dir, "events")))
 
 
 def dense_panel(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the operators rely on for right results or for streaming state.
 REQUIRED = {
@@ -62,3 +63,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="tickscope-checkpoint-")
     context.setCheckpointDir(configured)
     return configured
+
+
+def written(rows: DataFrame) -> DataFrame:
+    """``rows`` stored once as a table in the checkpoint folder and read back.
+
+    Cuts the lineage, survives lost executors, computes the rows once, and gives
+    the optimizer the table's true size, so that a join with it is broadcast only
+    if it is really small.
+    """
+    spark = rows.sparkSession
+    place = f"{ensure_checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+    rows.write.parquet(place)
+    return spark.read.schema(rows.schema).parquet(place)
