@@ -222,9 +222,9 @@ def _sweep() -> str:
             cells.append(f"""
 SELECT {n} AS lookback, CAST({t} AS DOUBLE) AS threshold, count(*) FILTER (is_spike) AS spikes,
   count(*) FILTER (is_spike AND best{n} > {t}) AS spikes_found,
-  round(count(*) FILTER (is_spike AND best{n} > {t}) / count(*) FILTER (is_spike), 6) AS recall,
+  count(*) FILTER (is_spike AND best{n} > {t}) / count(*) FILTER (is_spike) AS recall,
   count(*) FILTER (NOT near AND z{n} > {t}) AS false_positives,
-  round(500.0 * count(*) FILTER (NOT near AND z{n} > {t}) / count(*) FILTER (NOT near), 6) AS false_per_500
+  count(*) FILTER (NOT near AND z{n} > {t}) / count(*) FILTER (NOT near) * 500 AS false_per_500
 FROM near""")
     zs = ", ".join(
         f"CASE WHEN window_index >= 30 AND count(volume) OVER w{n} >= 5 AND stddev_pop(volume) OVER w{n} > 0 "
@@ -368,7 +368,7 @@ WHERE CAST(symbol AS BIGINT) + 1 <= 50 GROUP BY symbol""",
 SELECT CAST(user_id AS VARCHAR) AS ticker FROM events WHERE user_id + 1 <= 50
 UNION SELECT symbol FROM scored WHERE is_volume_anomaly""",
     "prices_between": f"""WITH {DENSE}
-SELECT CAST(date AS VARCHAR) AS date, ticker, round(close, 6) AS close FROM panel
+SELECT CAST(date AS VARCHAR) AS date, ticker, round(ln(close), 6) AS log_close FROM panel
 WHERE date >= DATE '1995-01-01' AND date < DATE '1996-02-05' AND ticker IN ('A', 'R')""",
     "delivery_audit": """
 SELECT l_orderkey AS trade_id, first(l_returnflag ORDER BY l_shipdate, l_returnflag) AS ticker,

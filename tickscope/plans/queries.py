@@ -441,7 +441,10 @@ def ticker_union(spark, sf):
 def prices_between(spark, sf):
     tickers = spark.createDataFrame([("A",), ("R",)], "ticker STRING")
     rows = universe.prices_between(I.dense_panel(spark, sf), tickers, "1995-01-01", "1996-02-05")
-    return rows.select(F.col("date").cast("string").alias("date"), "ticker", _r("close"))
+    return rows.select(
+        F.col("date").cast("string").alias("date"), "ticker",
+        F.round(F.ln("close"), 6).alias("log_close"),
+    )
 
 
 # --- delivery ----------------------------------------------------------------------------
@@ -477,8 +480,8 @@ def detector_sweep(spark, sf):
         F.when(planted, F.col("volume") * 10).otherwise(F.col("volume")).alias("volume"),
     )
     return evaluate.sweep(rows).select(
-        "lookback", "threshold", "spikes", "spikes_found", _r("recall"), "false_positives",
-        _r("false_per_500"),
+        "lookback", "threshold", "spikes", "spikes_found", "recall", "false_positives",
+        "false_per_500",
     )
 
 
