@@ -36,13 +36,13 @@ def _windows(length: str, prefix: str = "") -> str:
   UNION ALL
   SELECT c.symbol, c.window_index + 1, n.nxt FROM {p}chain c
   JOIN {p}nexts n ON n.symbol = c.symbol AND n.ts = c.s WHERE n.nxt IS NOT NULL),
-{p}bounds AS (
+{p}bounds AS MATERIALIZED (
   SELECT symbol, window_index, s,
          lead(s) OVER (PARTITION BY symbol ORDER BY window_index) AS e FROM {p}chain),
 {p}returns AS (
   SELECT *, CASE WHEN price > 0 AND prev > 0 THEN ln(price / prev) END AS ret
   FROM (SELECT *, lag(price) OVER (PARTITION BY symbol ORDER BY arrival) AS prev FROM {p}trades)),
-{p}windows AS (
+{p}windows AS MATERIALIZED (
   SELECT b.symbol, b.window_index, b.s, b.e, count(*) AS trade_count, sum(r.size) AS volume,
          CASE WHEN count(r.ret) >= 2 THEN stddev_samp(r.ret) END AS realized_volatility
   FROM {p}bounds b JOIN {p}returns r
@@ -121,7 +121,7 @@ def _kinds() -> str:
         f"WITH RECURSIVE {BY_TYPE}, {_windows(LONG_WINDOW)}, {users}, {_windows(DAY_PART, 'u_')}, "
         + _scored("windows", "window_index", 2.0)
         + """,
-kinds AS (
+kinds AS MATERIALIZED (
   SELECT 'volume_anomaly' AS anomaly_type, symbol, s, e, volume, trade_count, anomaly_score,
          CAST(NULL AS DOUBLE) AS realized_volatility, CAST(NULL AS DOUBLE) AS changepoint_probability
   FROM scored WHERE is_volume_anomaly
@@ -133,7 +133,7 @@ kinds AS (
 
 def _anomalies() -> str:
     return _kinds() + """,
-anomalies AS (
+anomalies AS MATERIALIZED (
   SELECT symbol AS ticker, s AS window_start, anomaly_type,
          '{"delivery":1}' AS details, s + INTERVAL '1 hour' AS detected_at
   FROM kinds GROUP BY ALL)"""
