@@ -180,6 +180,10 @@ def test_feed_and_texts(spark):
     messages = raw(spark, values).withColumn("arrival", F.col("offset"))
     feed = views.latest_messages(messages).collect()
     assert len(feed) == 50 and json.loads(feed[0]["payload"])["trade_id"] == 59
+    for shortlist in (52, 50):  # enough JSON messages in the shortlist, or not
+        again = views.latest_messages(messages, 50, shortlist).collect()
+        assert [r["arrival"] for r in again] == [r["arrival"] for r in feed]
+    assert views.latest_messages(messages.where("false"), 50, 10).collect() == []
     assert views.waiting_messages(messages, 10).agg(F.max("arrival")).first()[0] == 51
     ticks = validate.valid_ticks(validate.validate_ticks(raw(spark, [without(TRADE), without(QUOTE)])))
     assert [r["detail"] for r in views.tick_text(ticks).collect()] == ["$231.50 × 100", "bid $231.40 / ask $231.60"]

@@ -198,6 +198,8 @@ def test_universe(spark):
     ticks = spark.createDataFrame([(f"S{i % 5}", i) for i in range(20)], "symbol STRING, arrival BIGINT")
     assert universe.in_universe(ticks, universe.cap_universe(names, 2)).count() == 8
     assert universe.in_universe(ticks, universe.cap_universe(names)).count() == 20
+    plan = universe.in_universe(ticks, names)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
     odd = spark.createDataFrame([("S1",), ("ZZ",)], "ticker STRING")
     assert sorted(r[0] for r in universe.ticker_union(names, odd).collect()) == ["S0", "S1", "S2", "S3", "S4", "ZZ"]
 
@@ -241,5 +243,7 @@ def test_drain_summary(spark):
 def test_latest_tick_and_freshness(spark):
     ticks = spark.createDataFrame([("A", 1, 5.0), ("A", 3, 7.0), ("B", 2, 1.0)], "symbol STRING, arrival BIGINT, price DOUBLE")
     assert sorted(map(tuple, views.latest_per_symbol(ticks).collect())) == [("A", 3, 7.0), ("B", 2, 1.0)]
+    plan = views.latest_per_symbol(ticks)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
     windows = spark.createDataFrame([("A", at(1)), ("A", at(4))], "symbol STRING, window_end TIMESTAMP")
     assert views.model_freshness(windows).first()[:] == ("A", at(4))

@@ -28,6 +28,14 @@ def anchor_positions(ts: np.ndarray, width: int, open_start: int | None) -> np.n
     return np.asarray(found, dtype=np.int64)
 
 
+def log_returns(price: np.ndarray, previous: np.ndarray) -> np.ndarray:
+    """ln(price / previous), NaN unless both are positive."""
+    out = np.full(len(price), np.nan)
+    usable = (price > 0) & (previous > 0)
+    out[usable] = np.log(price[usable] / previous[usable])
+    return out
+
+
 class StepTable:
     """What one stretch of trades does to the open window, for any open window.
 

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 import numpy as np
 
 from tickscope import schemas as S
-from tickscope.functions.anchors import anchor_positions
+from tickscope.functions.anchors import anchor_positions, log_returns
 from tickscope.functions.bocpd import RegimeDetector, RegimeParams
 
 
@@ -65,10 +65,8 @@ class SymbolSeries:
 
     def feed(self, ts: np.ndarray, price: np.ndarray, size: np.ndarray) -> list[tuple]:
         """Take trades in arrival order; return a scored row per closed window."""
-        previous = np.append(np.nan if self.last_price is None else self.last_price, price[:-1])
-        usable = (price > 0) & (previous > 0)
-        returns = np.full(len(price), np.nan)
-        np.log(np.divide(price, previous, where=usable, out=np.ones(len(price))), where=usable, out=returns)
+        last = np.nan if self.last_price is None else self.last_price
+        returns = log_returns(price, np.append(last, price[:-1]))
         at = anchor_positions(ts, self.width, self.open_us)
         closed = []
         edges = [0, *at.tolist(), len(ts)]

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickscope import schemas as S
-from tickscope.functions.anchors import NEVER, StepTable, anchor_positions
+from tickscope.functions.anchors import NEVER, StepTable, anchor_positions, log_returns
 from tickscope.operators.hotkeys import ROWS_PER_CHUNK, chunk_hot_keys
 from tickscope.session import written
 
@@ -63,20 +63,10 @@ def assign_windows(
             .join(_chunk_entries(chunked, width), keys, "left")
             .repartition(*keys)
         )
-    previous = F.coalesce(
-        F.lag("price").over(Window.partitionBy(*keys).orderBy("arrival")), F.col("carried")
-    )
     part = F.col("chunk") if "chunk" in keys else F.lit(0).cast("bigint")
-    ordered = (
-        ready.withColumn("previous", previous)
-        .select(
-            *keys, "arrival", "ts_us", "open_us", "open_index", "size",
-            log_return(F.col("price"), F.col("previous")).alias("log_return"),
-        )
-        .sortWithinPartitions(*keys, "arrival")
-    )
+    ordered = ready.sortWithinPartitions(*keys, "arrival")
     return ordered.select(
-        "symbol", part.alias("part"), "ts_us", "open_us", "open_index", "size", "log_return"
+        "symbol", part.alias("part"), "ts_us", "open_us", "open_index", "carried", "price", "size"
     ).mapInArrow(_assigner(width), ASSIGNED)
 
 
@@ -117,13 +107,13 @@ def _assigner(width: int):
     """
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, open_us, index = None, None, -1
+        key, open_us, index, last = None, None, -1, np.nan
         for batch in batches:
             n = batch.num_rows
             if n == 0:
                 continue
             symbol, part = batch.column(0), batch.column(1)
-            ts = batch.column(2).to_numpy(zero_copy_only=False)
+            ts, price = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 6))
             change = np.ones(n, dtype=bool)
             change[1:] = pc.or_(
                 pc.not_equal(symbol[1:], symbol[:-1]), pc.not_equal(part[1:], part[:-1])
@@ -131,12 +121,15 @@ def _assigner(width: int):
             edges = np.append(np.flatnonzero(change), n)
             start = np.empty(n, dtype=np.int64)
             number = np.empty(n, dtype=np.int64)
+            previous = np.append(last, price[:-1])
             anchors = []
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
                 this = (symbol[a].as_py(), part[a].as_py())
                 if this != key:
                     key, open_us = this, batch.column(3)[a].as_py()
                     index = -1 if open_us is None else batch.column(4)[a].as_py()
+                    carried = batch.column(5)[a].as_py()
+                    previous[a] = np.nan if carried is None else carried
                 at = anchor_positions(ts[a:b], width, open_us)
                 opened = np.zeros(b - a, dtype=np.int64)
                 opened[at] = 1
@@ -147,25 +140,27 @@ def _assigner(width: int):
                 index += len(at)
                 open_us = int(starts[-1])
                 anchors.append(at + a)
+            last = price[-1]
             closing = np.concatenate(anchors)
             closing = closing[number[closing] > 0]
-            yield _with_markers(batch, number, start, ts, closing)
+            yield _with_markers(batch, number, start, ts, log_returns(price, previous), closing)
 
     return assign
 
 
-def _with_markers(batch, number, start, ts, closing) -> pa.RecordBatch:
+def _with_markers(batch, number, start, ts, returns, closing) -> pa.RecordBatch:
     n, m = batch.num_rows, len(closing)
     marker = np.arange(n + m) >= n
-    void = pa.nulls(m, pa.float64())
+    void = np.full(m, np.nan)
+    returns = np.concatenate([returns, void])
     return pa.RecordBatch.from_arrays(
         [
             pa.concat_arrays([batch.column(0), batch.column(0).take(pa.array(closing))]),
             pa.array(np.concatenate([number, number[closing] - 1])),
             pa.array(np.concatenate([start, np.zeros(m, np.int64)]), mask=marker),
             pa.array(np.concatenate([np.zeros(n, np.int64), ts[closing]]), mask=~marker),
-            pa.concat_arrays([batch.column(5), void]),
-            pa.concat_arrays([batch.column(6), void]),
+            pa.concat_arrays([batch.column(7), pa.nulls(m, pa.float64())]),
+            pa.array(returns, mask=np.isnan(returns)),
         ],
         names=["symbol", "window_index", "start_us", "end_us", "size", "log_return"],
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickscope import schemas as S
-from tickscope.operators.volume import WINDOWS_PER_CHUNK, with_neighbours
+from tickscope.operators.volume import WINDOWS_PER_CHUNK, baseline, with_neighbours
 
 # The grid the defaults were picked from.
 THRESHOLDS = (3.0, 3.5, 4.0, 4.5, 5.0, 5.5, 6.0)
@@ -33,18 +33,14 @@ def sweep(
     spread, keys = with_neighbours(windows, max(lookbacks) + tolerance, tolerance, chunk)
     order = Window.partitionBy(*keys).orderBy("window_index")
     around = order.rowsBetween(-tolerance, tolerance)
-    z = {}
+    past, z = {}, {}
     for n in lookbacks:
-        past = order.rowsBetween(-n, -1)
-        std = F.stddev_pop("volume").over(past)
-        ready = (
-            (F.col("window_index") >= warmup)
-            & (F.count("volume").over(past) >= S.VOLUME_MIN_HISTORY)
-            & (std > 0)
+        past[f"n{n}"], past[f"m{n}"], past[f"s{n}"] = baseline(keys, n)
+        warm = (F.col("window_index") >= warmup) & (F.col(f"n{n}") >= S.VOLUME_MIN_HISTORY)
+        z[f"z{n}"] = F.when(
+            warm & (F.col(f"s{n}") > 0), (F.col("volume") - F.col(f"m{n}")) / F.col(f"s{n}")
         )
-        z[f"z{n}"] = F.when(ready, (F.col("volume") - F.avg("volume").over(past)) / std)
-    scored = spread.withColumns(z)
-    scored = scored.withColumns({
+    scored = spread.withColumns(past).withColumns(z).withColumns({
         "near": F.max(F.col("is_spike").cast("int")).over(around) > 0,
         **{f"best{n}": F.max(f"z{n}").over(around) for n in lookbacks},
     }).where(~F.col("_copy"))

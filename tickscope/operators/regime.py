@@ -52,9 +52,10 @@ def score_series(
                 names=[*batch.schema.names, "changepoint_probability", "is_changepoint"],
             )
 
-    return (
-        series.repartition(key).sortWithinPartitions(key, order).mapInArrow(fold, schema)
-    )
+    # A fixed number of partitions: merging small ones by size, as Spark otherwise
+    # does, would put work that is heavy for its size into few tasks.
+    tasks = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return series.repartition(tasks, key).sortWithinPartitions(key, order).mapInArrow(fold, schema)
 
 
 def score_regime(windows: DataFrame, params: RegimeParams = RegimeParams()) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickscope.session import written
+
 
 def cap_universe(universe: DataFrame, max_symbols: int | None = None) -> DataFrame:
     """The first ``max_symbols`` by ``rank`` (1 = first); all when not given."""
@@ -12,8 +14,12 @@ def cap_universe(universe: DataFrame, max_symbols: int | None = None) -> DataFra
 
 
 def in_universe(ticks: DataFrame, universe: DataFrame) -> DataFrame:
-    """Ticks of the universe's symbols. Spark broadcasts the list if it is small."""
-    return ticks.join(universe.select("symbol"), "symbol", "left_semi")
+    """Ticks of the universe's symbols.
+
+    The list is written out first, so its size is known: a small one is broadcast
+    and no tick is shuffled, a large one takes a shuffle join.
+    """
+    return ticks.join(written(universe.select("symbol").distinct()), "symbol", "left_semi")
 
 
 def ticker_union(universe: DataFrame, anomalies: DataFrame) -> DataFrame:
@@ -28,8 +34,9 @@ def ticker_union(universe: DataFrame, anomalies: DataFrame) -> DataFrame:
 def prices_between(prices: DataFrame, tickers: DataFrame, start: str, end: str) -> DataFrame:
     """Daily bars with ``start <= date < end`` of the given tickers.
 
-    The date bounds reach the scan as pushed filters.
+    The date bounds reach the scan as pushed filters; the ticker list is written
+    out first, as in :func:`in_universe`.
     """
     day = F.col("date")
     bars = prices.where((day >= F.lit(start).cast("date")) & (day < F.lit(end).cast("date")))
-    return bars.join(tickers.select("ticker"), "ticker", "left_semi")
+    return bars.join(written(tickers.select("ticker").distinct()), "ticker", "left_semi")

@@ -33,14 +33,25 @@ def anomalies_in_time_order(anomalies: DataFrame) -> DataFrame:
     ).orderBy("window_start", "ticker", "anomaly_type")
 
 
-def latest_messages(messages: DataFrame, length: int = S.FEED_LENGTH) -> DataFrame:
-    """The newest messages by ``arrival`` whose value is JSON; nothing else is checked."""
-    return (
-        messages.withColumn("payload", F.col("value").cast("string"))
-        .where(F.is_valid_utf8("payload") & X.is_single_json(F.col("payload")))
-        .orderBy(F.desc("arrival"))
-        .limit(length)
+def latest_messages(
+    messages: DataFrame, length: int = S.FEED_LENGTH, shortlist: int | None = None
+) -> DataFrame:
+    """The newest messages by ``arrival`` whose value is JSON; nothing else is checked.
+
+    With ``shortlist``, the newest that many arrivals are looked up first, reading
+    the arrival column only. If they hold enough JSON messages the feed comes from
+    them, and a bound on ``arrival`` reaches the scan; if not, all are searched.
+    """
+    readable = messages.withColumn("payload", F.col("value").cast("string")).where(
+        F.is_valid_utf8("payload") & X.is_single_json(F.col("payload"))
     )
+    if shortlist:
+        newest = messages.select("arrival").orderBy(F.desc("arrival")).limit(shortlist)
+        since = newest.agg(F.min("arrival")).first()[0]
+        recent = readable.where(F.col("arrival") >= F.lit(since))
+        if since is not None and recent.count() >= length:
+            readable = recent
+    return readable.orderBy(F.desc("arrival")).limit(length)
 
 
 def waiting_messages(messages: DataFrame, buffer: int = S.VIEWER_BUFFER) -> DataFrame:
@@ -49,15 +60,15 @@ def waiting_messages(messages: DataFrame, buffer: int = S.VIEWER_BUFFER) -> Data
 
 
 def latest_per_symbol(ticks: DataFrame) -> DataFrame:
-    """Each symbol's last tick by arrival.
+    """Each symbol's last tick by arrival (unique within a symbol).
 
-    ``max_by`` combines before the shuffle, so a busy symbol sends one row per task.
+    ``max_by`` combines before the shuffle, so a busy symbol sends one row per
+    task. One per column, not one of a struct: numbers and times then stay in a
+    hash aggregation, where a struct would need a sort first.
     """
-    rest = [c for c in ticks.columns if c != "symbol"]
-    return (
-        ticks.groupBy("symbol")
-        .agg(F.max_by(F.struct(*rest), "arrival").alias("last"))
-        .select("symbol", "last.*")
+    rest = [c for c in ticks.columns if c not in ("symbol", "arrival")]
+    return ticks.groupBy("symbol").agg(
+        F.max("arrival").alias("arrival"), *[F.max_by(c, "arrival").alias(c) for c in rest]
     )
 
 

@@ -80,9 +80,11 @@ def messages(events: DataFrame) -> DataFrame:
         .when(kind == 5, body(type=F.lit("trade"), **{**trade, "timestamp": F.lit("not-a-timestamp")}))
     )
     broken = F.concat(F.unhex(F.lit("FFFE")), F.col("props").cast("binary"))
+    # Out of a generator, so that filters on the value do not repeat making it.
+    value = F.explode(F.array(F.coalesce(text.cast("binary"), broken)))
     return events.select(
         symbol.cast("binary").alias("key"),
-        F.coalesce(text.cast("binary"), broken).alias("value"),
+        value.alias("value"),
         F.lit(S.TICKS_TOPIC).alias("topic"),
         (F.col("user_id") % 6).cast("int").alias("partition"),
         F.col("event_id").alias("offset"),

@@ -307,7 +307,7 @@ def anomaly_counts(spark, sf):
 
 def latest_ticks_feed(spark, sf):
     rows = I.raw_messages(spark, sf).withColumn("arrival", F.col("offset"))
-    return views.latest_messages(rows).select(
+    return views.latest_messages(rows, shortlist=4 * S.FEED_LENGTH).select(
         "arrival", F.col("key").cast("string").alias("key"),
         F.get_json_object("payload", "$.type").alias("type"),
     )
