@@ -49,25 +49,17 @@ def assign_windows(
         F.col("price").cast("double").alias("price"), F.col("size").cast("double").alias("size"),
     )
     chunked = chunk_hot_keys(ticks, "symbol", "arrival", rows_per_chunk)
+    columns = ["symbol", "ts_us", "price", "size"]
     if chunked is None:
-        keys = ["symbol"]
-        nothing = F.lit(None).cast("bigint")
-        ready = ticks.repartition("symbol").select(
-            "*", nothing.alias("open_us"), nothing.alias("open_index"),
-            F.lit(None).cast("double").alias("carried"),
-        )
+        keys, ready = ["symbol"], ticks
     else:
         keys = ["symbol", "chunk"]
-        ready = (
-            chunked.withColumn("chunk", F.coalesce("chunk", F.lit(0)))
-            .join(_chunk_entries(chunked, width), keys, "left")
-            .repartition(*keys)
+        columns += ["chunk", "open_us", "open_index", "carried"]
+        ready = chunked.withColumn("chunk", F.coalesce("chunk", F.lit(0))).join(
+            _chunk_entries(chunked, width), keys, "left"
         )
-    part = F.col("chunk") if "chunk" in keys else F.lit(0).cast("bigint")
-    ordered = ready.sortWithinPartitions(*keys, "arrival")
-    return ordered.select(
-        "symbol", part.alias("part"), "ts_us", "open_us", "open_index", "carried", "price", "size"
-    ).mapInArrow(_assigner(width), ASSIGNED)
+    ordered = ready.repartition(*keys).sortWithinPartitions(*keys, "arrival")
+    return ordered.select(*columns).mapInArrow(_assigner(width), ASSIGNED)
 
 
 def summarise(assigned: DataFrame) -> DataFrame:
@@ -112,24 +104,28 @@ def _assigner(width: int):
             n = batch.num_rows
             if n == 0:
                 continue
-            symbol, part = batch.column(0), batch.column(1)
-            ts, price = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 6))
-            change = np.ones(n, dtype=bool)
-            change[1:] = pc.or_(
-                pc.not_equal(symbol[1:], symbol[:-1]), pc.not_equal(part[1:], part[:-1])
-            ).to_numpy(zero_copy_only=False)
-            edges = np.append(np.flatnonzero(change), n)
+            symbol = batch.column("symbol")
+            chunk = batch.column("chunk") if "chunk" in batch.schema.names else None
+            ts = batch.column("ts_us").to_numpy(zero_copy_only=False)
+            price = batch.column("price").to_numpy(zero_copy_only=False)
+            differs = pc.not_equal(symbol[1:], symbol[:-1])
+            if chunk is not None:
+                differs = pc.or_(differs, pc.not_equal(chunk[1:], chunk[:-1]))
+            edges = [0, *(np.flatnonzero(differs.to_numpy(zero_copy_only=False)) + 1).tolist(), n]
             start = np.empty(n, dtype=np.int64)
             number = np.empty(n, dtype=np.int64)
             previous = np.append(last, price[:-1])
             anchors = []
-            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                this = (symbol[a].as_py(), part[a].as_py())
+            for a, b in zip(edges[:-1], edges[1:]):
+                this = (symbol[a].as_py(), None if chunk is None else chunk[a].as_py())
                 if this != key:
-                    key, open_us = this, batch.column(3)[a].as_py()
-                    index = -1 if open_us is None else batch.column(4)[a].as_py()
-                    carried = batch.column(5)[a].as_py()
-                    previous[a] = np.nan if carried is None else carried
+                    key, open_us, index, previous[a] = this, None, -1, np.nan
+                    if chunk is not None:
+                        entry = [batch.column(c)[a].as_py() for c in ("open_us", "open_index", "carried")]
+                        if entry[0] is not None:
+                            open_us, index = entry[:2]
+                        if entry[2] is not None:
+                            previous[a] = entry[2]
                 at = anchor_positions(ts[a:b], width, open_us)
                 opened = np.zeros(b - a, dtype=np.int64)
                 opened[at] = 1
@@ -149,17 +145,17 @@ def _assigner(width: int):
 
 
 def _with_markers(batch, number, start, ts, returns, closing) -> pa.RecordBatch:
-    n, m = batch.num_rows, len(closing)
+    n, m, symbol = batch.num_rows, len(closing), batch.column("symbol")
     marker = np.arange(n + m) >= n
     void = np.full(m, np.nan)
     returns = np.concatenate([returns, void])
     return pa.RecordBatch.from_arrays(
         [
-            pa.concat_arrays([batch.column(0), batch.column(0).take(pa.array(closing))]),
+            pa.concat_arrays([symbol, symbol.take(pa.array(closing))]),
             pa.array(np.concatenate([number, number[closing] - 1])),
             pa.array(np.concatenate([start, np.zeros(m, np.int64)]), mask=marker),
             pa.array(np.concatenate([np.zeros(n, np.int64), ts[closing]]), mask=~marker),
-            pa.concat_arrays([batch.column(7), pa.nulls(m, pa.float64())]),
+            pa.concat_arrays([batch.column("size"), pa.nulls(m, pa.float64())]),
             pa.array(returns, mask=np.isnan(returns)),
         ],
         names=["symbol", "window_index", "start_us", "end_us", "size", "log_return"],
