@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,34 +40,9 @@ def apply_runtime_settings(spark: SparkSession) -> SparkSession:
     for key, value in REQUIRED.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
-    ship_package(spark)
     return spark
 
 
-_shipped: set[str] = set()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once per application.
-
-    Functions run by workers are pickled by reference, so workers must be able to
-    import the package wherever they run and whatever their working folder is.
-    """
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    package = os.path.dirname(os.path.abspath(__file__))
-    archive = os.path.join(tempfile.mkdtemp(prefix="tickscope-package-"), "tickscope.zip")
-    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
-        for folder, _, files in os.walk(package):
-            for name in files:
-                if name.endswith(".py"):
-                    path = os.path.join(folder, name)
-                    out.write(path, os.path.relpath(path, os.path.dirname(package)))
-    context.addPyFile(archive)
-    _shipped.add(context.applicationId)
-
-
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder for reliable checkpoints, taken from the session.
 
