@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tickscope import schemas as S
 from tickscope.functions import text as X
+from tickscope.operators.delivery import side_by_side
 
 
 def newest_anomalies(
@@ -125,7 +126,4 @@ def status_report(
     fresh = freshness.agg(
         F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("model_freshness")
     )
-    # Three one-row frames side by side.
-    return lags.join(depth, F.lit(True)).join(fresh, F.lit(True)).withColumn(
-        "checked_at", X.iso_text(at)
-    )
+    return side_by_side(lags, depth, fresh).withColumn("checked_at", X.iso_text(at))
