@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tests.plain import BASE_US, random_trades
+from tests.plain import random_trades
 from tickscope import schemas as S
 from tickscope.functions.series import DetectorParams
 from tickscope.operators import anchored, events
@@ -204,4 +204,15 @@ def test_live_view_keeps_the_newest_json(spark, spiky, tmp_path):
     ).awaitTermination(120)
     assert len(shown) == 2 and len(shown[-1]) == 5
     assert json.loads(shown[-1][0])["trade_id"] == 2059
-    assert BASE_US
+
+
+def test_starting_latest_skips_what_is_there(spark, spiky, tmp_path):
+    raw = stream_messages(spark, "parquet", spiky, starting="latest")
+    raw_frame(spark, [b"{}"], 900).withColumn("timestamp", F.expr("now() + INTERVAL 1 HOUR")).write.mode(
+        "append").parquet(spiky)
+    seen = []
+    jobs.start_live_view(
+        raw, lambda feed: seen.extend(bytes(r["value"]) for r in feed.collect()), str(tmp_path / "ck"),
+        available_now=True,
+    ).awaitTermination(120)
+    assert seen == [b"{}"]

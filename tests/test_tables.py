@@ -205,6 +205,7 @@ def test_universe(spark):
 
 
 def test_price_dates_reach_the_scan(spark, tmp_path):
+    assert universe.price_range(dt.date(2026, 8, 3)) == ("2025-06-30", "2026-08-04")
     panel(spark, 30).write.parquet(str(tmp_path / "p"))
     bars = spark.read.parquet(str(tmp_path / "p"))
     some = universe.prices_between(bars, spark.createDataFrame([("AAPL",)], "ticker STRING"), "2023-01-10", "2023-01-12")

@@ -11,6 +11,7 @@ from tickscope.functions.bocpd import RegimeParams
 from tickscope.operators.regime import score_regime
 from tickscope.operators.volume import score_volume
 
+# The payloads' fields in their order on the wire.
 VOLUME_PAYLOAD = (
     "symbol", "window_start", "window_end", "volume", "trade_count", "anomaly_score",
     "score_mean", "score_std",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tickscope import schemas as S
 from tickscope.functions import text as X
 
+# The payloads' fields in their order on the wire.
 TRADE_PAYLOAD = (
     "type", "symbol", "timestamp", "price", "size", "exchange", "trade_id", "conditions", "tape",
 )

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickscope import schemas as S
 from tickscope.session import written
 
 
@@ -31,6 +34,12 @@ def ticker_union(universe: DataFrame, anomalies: DataFrame) -> DataFrame:
     )
 
 
+def price_range(today: date, days: int = S.PRICE_LOOKBACK_DAYS) -> tuple[str, str]:
+    """Start and exclusive end of the bars needed for moves up to ``today``."""
+    end = today + timedelta(days=1)
+    return (end - timedelta(days=days)).isoformat(), end.isoformat()
+
+
 def prices_between(prices: DataFrame, tickers: DataFrame, start: str, end: str) -> DataFrame:
     """Daily bars with ``start <= date < end`` of the given tickers.
 

@@ -70,24 +70,7 @@ DLQ_ENVELOPE = (
     "raw_value_b64 STRING, error STRING, failed_at STRING"
 )
 
-WINDOW_SUMMARY = (
-    "symbol STRING, window_index BIGINT, window_start TIMESTAMP, window_end TIMESTAMP, "
-    "trade_count BIGINT, volume DOUBLE, realized_volatility DOUBLE"
-)
-
-# One row per closed window with both detectors' readings, batch and streaming.
-SCORED_WINDOW = (
-    "symbol STRING, window_index BIGINT, window_start TIMESTAMP, window_end TIMESTAMP, "
-    "trade_count BIGINT, volume DOUBLE, realized_volatility DOUBLE, score_mean DOUBLE, "
-    "score_std DOUBLE, anomaly_score DOUBLE, is_volume_anomaly BOOLEAN, "
-    "changepoint_probability DOUBLE, is_regime_change BOOLEAN"
-)
-
 ANOMALY = (
     "ticker STRING, window_start TIMESTAMP, anomaly_type STRING, details STRING, "
     "detected_at TIMESTAMP"
 )
-
-PRICE_BAR = (
-    "date DATE, ticker STRING, open DOUBLE, high DOUBLE, low DOUBLE, close DOUBLE, volume BIGINT"
-)
