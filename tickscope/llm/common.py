@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 # Spark's own place for the tables that a job writes in between.
 from tickscope.session import apply_runtime_settings, written  # noqa: F401
 
-BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
-LRU_HALF = 120_000
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
+LRU_HALF = 100_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,8 +107,8 @@ def _split(rows: DataFrame, found: dict[int, tuple], leaves: dict[int, int]) ->
 
 
 def kd_leaves(rows: DataFrame, shards: int, slack: float, dimensions=DIMENSIONS) -> DataFrame:
-    """``rows`` with ``shard``. A node is (first shard, number of shards) while the tree grows."""
-    rows = rows.withColumns({"node": F.lit(0), "weight": F.col("size")})
+    """``rows`` (with ``node`` 0 stored in them) with ``shard``; nodes are named by their first shard."""
+    rows = rows.withColumn("weight", F.col("size"))
     leaves = {0: shards}  # first shard of a node: how many shards it will become
     whole = None
     while any(n > 1 for n in leaves.values()):
@@ -139,7 +139,7 @@ def kd_leaves(rows: DataFrame, shards: int, slack: float, dimensions=DIMENSIONS)
 
 def shard_table(docs: DataFrame, shards: int = SHARDS, slack: float = SLACK) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row."""
-    rows = written(metadata(docs))
+    rows = written(metadata(docs).withColumn("node", F.lit(0)))
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).first()
     placed = written(kd_leaves(rows, shards, slack * (total["size"] or 0) / shards))
     slots = numbered_within(placed, total["n"], ["shard"], ["doc_id", "text_crc32", "size"], "slot")
