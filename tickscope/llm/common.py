@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
+import sys
+import types
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -103,6 +106,21 @@ class PreTokens:
         return out
 
 
+def hash_of(content: str | bytes) -> str:
+    return hashlib.sha256(content.encode() if isinstance(content, str) else content).hexdigest()
+
+
+def kept_by_worker(name: str, build):
+    """``build()``, made once in each Python worker and kept for its later tasks.
+
+    Vocabularies take seconds and memory to set up. One object is kept per ``name``.
+    """
+    place = sys.modules.setdefault("_kept_by_worker", types.ModuleType("_kept_by_worker")).__dict__
+    if name not in place:
+        place[name] = build()
+    return place[name]
+
+
 def let(value, body):
     """``body(value)`` with ``value`` evaluated once, also where lambdas inside use it many times."""
     return F.transform(F.array(value), body)[0]

@@ -20,6 +20,8 @@ as rows of their own. An empty table gives no rows.
 from __future__ import annotations
 
 import json
+import os
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickscope.llm.common import Memo, bound_batches, ids_and_texts, numbered_within, tokenizer_file, written
+from tickscope.llm.common import Memo, bound_batches, hash_of, ids_and_texts, kept_by_worker, numbered_within, tokenizer_file, written
 
 CAPACITY, SEPARATOR = 2048, 0
 ROUNDS, LEARNING_RATE = 300, 0.5
@@ -55,7 +57,8 @@ class WordEncoder:
         self.added = {a["content"]: np.array([a["id"]], "<u4").tobytes() for a in parts["added_tokens"]}
         names = sorted(self.added, key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, names)) + ")").split if names else None
-        self.rare = regex.compile(COMMON).search
+        self.rare, self.control = regex.compile(COMMON).search, re.compile("[\x02\x1c-\x1f\x7f]").search
+        self.sign = os.path.commonprefix(names)  # what every added token begins with
         kinds = [p["type"] for p in parts["pre_tokenizer"].get("pretokenizers", [])]
         self.plain_shape = (
             [n["type"] for n in (parts["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
@@ -84,11 +87,11 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         cut: list[list | bytes] = []
         for text in texts:
-            if not self.plain_shape or self.rare(text):
+            if not self.plain_shape or (self.control(text) if text.isascii() else self.rare(text)):
                 ids = self.whole.encode(text, add_special_tokens=False).ids
                 cut.append(np.array(ids, "<u4").tobytes())
             else:
-                segments = self.cut(text) if self.cut else [text]
+                segments = self.cut(text) if self.cut and self.sign in text else [text]
                 cut.append([s if s in self.added else s.lower().split() for s in segments])
         distinct: set = set()
         for segments in cut:
@@ -107,12 +110,13 @@ def token_pieces(docs: DataFrame, description: str, capacity: int = CAPACITY, se
     """doc_id, piece, start, length, ids_crc32 of every piece; with ``keep_ids`` the ids too."""
     spark = docs.sparkSession
     bound_batches(spark)
+    name = f"words {hash_of(description)}"
     sent = spark.sparkContext.broadcast(description)  # a vocabulary, about 2 MB
     end = np.array([separator], "<u4").tobytes()
     step = 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(sent.value)
+        encoder = kept_by_worker(name, lambda: WordEncoder(sent.value))
         for batch in batches:
             rows = ([], [], [], [], [], [])
             for doc, packed in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist())):

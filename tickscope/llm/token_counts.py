@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickscope.llm.common import Memo, PreTokens, bound_batches, ids_and_texts, tokenizer_file
+from tickscope.llm.common import Memo, PreTokens, bound_batches, hash_of, ids_and_texts, kept_by_worker, tokenizer_file
 
 LIMIT = 512
 SPACE, CHUNK = "\u0120", 2000  # how byte-level vocabularies write a space; words encoded together
@@ -99,10 +99,11 @@ def token_counts(docs: DataFrame, description: str, limit: int = LIMIT) -> DataF
     """doc_id, n_bytes, n_tokens, over_limit for every row; ``description`` is a tokenizer file's text."""
     spark = docs.sparkSession
     bound_batches(spark)
+    name = f"pieces {hash_of(description)}"
     sent = spark.sparkContext.broadcast(description)  # a vocabulary, about 1.5 MB
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PieceCounter(sent.value)
+        counter = kept_by_worker(name, lambda: PieceCounter(sent.value))
         for batch in batches:
             texts = batch.column("text").to_pylist()
             yield pa.RecordBatch.from_arrays(
