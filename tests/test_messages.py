@@ -187,3 +187,17 @@ def test_feed_and_texts(spark):
     assert views.waiting_messages(messages, 10).agg(F.max("arrival")).first()[0] == 51
     ticks = validate.valid_ticks(validate.validate_ticks(raw(spark, [without(TRADE), without(QUOTE)])))
     assert [r["detail"] for r in views.tick_text(ticks).collect()] == ["$231.50 × 100", "bid $231.40 / ask $231.60"]
+
+
+def test_sizes_are_shown_without_exponent(spark):
+    shape = "type STRING, price DOUBLE, size DOUBLE, bid_price DOUBLE, ask_price DOUBLE"
+    ticks = spark.createDataFrame([("trade", 1.0, n, None, None) for n in (12345678.0, 0.0005, 100.0, 0.0)], shape)
+    assert [r["detail"] for r in views.tick_text(ticks).collect()] == [
+        "$1.00 × 12345678", "$1.00 × 0.0005", "$1.00 × 100", "$1.00 × 0"]
+
+
+@pytest.mark.parametrize("price, size", [(float("nan"), 1.0), (1.0, float("inf")), (1.0, None)])
+def test_numbers_that_are_none_stop_the_job(spark, price, size):
+    ticks = spark.createDataFrame([("trade", "S", price, size)], "type STRING, symbol STRING, price DOUBLE, size DOUBLE")
+    with pytest.raises(Exception, match="without a usable"):
+        validate.trades(ticks).collect()

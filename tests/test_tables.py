@@ -248,3 +248,10 @@ def test_latest_tick_and_freshness(spark):
     assert "SortAggregate" not in plan
     windows = spark.createDataFrame([("A", at(1)), ("A", at(4))], "symbol STRING, window_end TIMESTAMP")
     assert views.model_freshness(windows).first()[:] == ("A", at(4))
+
+
+def test_drain_peak_ends_with_the_drain(spark):
+    rows = [("r", 1.0, 10, 10, 1.0), ("r", 3.0, 0, 10, 1.0), ("r", 4.0, 900, 10, 1.0), ("z", 1.0, 5, 5, 0.0)]
+    frame = spark.createDataFrame(rows, "run STRING, elapsed DOUBLE, lag BIGINT, burst_size BIGINT, produce_seconds DOUBLE")
+    got = {r["run"]: (r["peak_lag"], r["produce_rate"]) for r in delivery.drain_summary(frame).collect()}
+    assert got == {"r": (10, 10.0), "z": (5, None)}

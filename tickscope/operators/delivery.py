@@ -48,13 +48,16 @@ def drain_summary(samples: DataFrame, settle_seconds: float = 2.0) -> DataFrame:
     there has drained only if its last sample is empty.
     """
     gone = F.min(F.when((F.col("lag") == 0) & (F.col("elapsed") > settle_seconds), F.col("elapsed")))
+    ends = samples.groupBy(F.col("run").alias("_run")).agg(gone.alias("_gone"))
+    watched = (F.col("elapsed") <= F.col("_gone")) | F.col("_gone").isNull()
     return (
-        samples.groupBy("run")
+        samples.join(ends, F.col("run").eqNullSafe(F.col("_run")))
+        .groupBy("run")
         .agg(
             F.max("burst_size").alias("burst_size"),
-            (F.max("burst_size") / F.max("produce_seconds")).alias("produce_rate"),
-            F.max("lag").alias("peak_lag"),
-            gone.alias("_gone"),
+            F.try_divide(F.max("burst_size"), F.max("produce_seconds")).alias("produce_rate"),
+            F.max(F.when(watched, F.col("lag"))).alias("peak_lag"),
+            F.max("_gone").alias("_gone"),
             F.max("elapsed").alias("_end"),
             F.max_by("lag", "elapsed").alias("_end_lag"),
         )

@@ -15,7 +15,7 @@ PriceFactor = Callable[[WindowSpec], Column]
 
 
 def _momentum(days: WindowSpec) -> Column:
-    return F.lag("close", 21).over(days) / F.lag("close", 252).over(days) - 1
+    return F.try_divide(F.lag("close", 21).over(days), F.lag("close", 252).over(days)) - 1
 
 
 def _volatility(days: WindowSpec) -> Column:

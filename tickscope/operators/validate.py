@@ -83,7 +83,11 @@ def trades(ticks: DataFrame) -> DataFrame:
 
     def needed(name: str) -> Column:
         fault = F.raise_error(F.lit(f"trade without a usable {name}"))
-        return F.when(F.col(name).isNull(), fault).otherwise(F.col(name)).alias(name)
+        bad = F.col(name).isNull()
+        if name != "symbol":
+            number = F.col(name).cast("double")
+            bad |= F.isnan(number) | (F.abs(number) == float("inf"))
+        return F.when(bad, fault).otherwise(F.col(name)).alias(name)
 
     others = [c for c in picked.columns if c not in ("symbol", "price", "size")]
     return picked.select(*others, needed("symbol"), needed("price"), needed("size"))

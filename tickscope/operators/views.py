@@ -92,7 +92,8 @@ def with_labels(anomalies: DataFrame) -> DataFrame:
 
 def tick_text(ticks: DataFrame) -> DataFrame:
     """Display text of a tick: price and size of a trade, both sides of a quote."""
-    size = F.regexp_replace(F.col("size").cast("string"), r"\.0$", "")
+    # Never in exponent form: 12345678, not 1.2345678E7.
+    size = F.regexp_replace(F.format_string("%.10f", F.col("size").cast("double")), r"\.?0+$", "")
     return ticks.withColumn(
         "detail",
         F.when(F.col("type") == "trade", F.concat(F.format_string("$%.2f × ", "price"), size))

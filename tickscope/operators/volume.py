@@ -78,6 +78,7 @@ def score_volume(
     n, mean, std = baseline(keys, lookback)
     ready = (F.col("window_index") >= warmup) & (F.col("_n") >= S.VOLUME_MIN_HISTORY) & (F.col("_s") > 0)
     z = F.when(ready, (F.col("volume") - F.col("_m")) / F.col("_s"))
+    z = F.when(F.abs(z) < float("inf"), z)  # a volume that is no number gives no score
     return (
         spread.withColumns({"_n": n, "_m": mean, "_s": std})
         .where(~F.col("_copy"))

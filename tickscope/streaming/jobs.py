@@ -149,22 +149,20 @@ def start_live_view(
     raw: DataFrame,
     show: Callable[[DataFrame], None],
     checkpoint: str,
-    buffer: int = S.VIEWER_BUFFER,
     length: int = S.FEED_LENGTH,
     available_now: bool = False,
 ) -> StreamingQuery:
     """Newest messages as they come, unvalidated, for display.
 
-    Of a micro-batch larger than ``buffer`` the newest messages are dropped, so a
-    slow viewer never holds anything up. ``show`` gets the current feed, newest
-    arrival first. Open ``raw`` with ``starting='latest'``.
+    ``show`` gets the current feed, newest arrival first, at most ``length``
+    messages, whatever the size of a micro-batch. Open ``raw`` with ``starting='latest'``.
     """
     feed: list = []
     shape = "key BINARY, value BINARY, arrival STRUCT<timestamp: TIMESTAMP, partition: INT, offset: BIGINT>"
 
     def take(batch: DataFrame, number: int) -> None:
         arrived = batch.withColumn("arrival", F.struct("timestamp", "partition", "offset"))
-        new = views.latest_messages(views.waiting_messages(arrived.select("key", "value", "arrival"), buffer), length)
+        new = views.latest_messages(arrived.select("key", "value", "arrival"), length)
         feed[:] = (new.select("key", "value", "arrival").collect() + feed)[:length]
         show(batch.sparkSession.createDataFrame(feed, shape))
 
