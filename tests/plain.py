@@ -55,8 +55,11 @@ def volume_scores(volumes, threshold=4.5, lookback=30, warmup=30):
     return out
 
 
-def changepoint_odds(xs, lam=100.0, short=1):
-    """Run-length posterior kept whole, in linear space and by its textbook form."""
+def changepoint_odds(xs, lam=100.0, short=1, least=0.0):
+    """Run-length posterior in linear space and by its textbook form.
+
+    Kept whole, or without longer runs whose weight is below ``least``.
+    """
     weights, stats, out = [1.0], [(0.0, 1.0, 1.0, 1.0)], []
     for x in xs:
         dens = []
@@ -76,5 +79,7 @@ def changepoint_odds(xs, lam=100.0, short=1):
             for mu, kappa, alpha, beta in stats
         ]
         stats = [(0.0, 1.0, 1.0, 1.0), *moved]
+        kept = [i for i, w in enumerate(weights) if i <= short or w >= least]
+        weights, stats = [weights[i] for i in kept], [stats[i] for i in kept]
         out.append(sum(weights[: short + 1]))
     return out

@@ -34,30 +34,21 @@ def anomalies_in_time_order(anomalies: DataFrame) -> DataFrame:
     ).orderBy("window_start", "ticker", "anomaly_type")
 
 
-def latest_messages(
-    messages: DataFrame, length: int = S.FEED_LENGTH, shortlist: int | None = None
-) -> DataFrame:
+def latest_messages(messages: DataFrame, length: int = S.FEED_LENGTH) -> DataFrame:
     """The newest messages by ``arrival`` whose value is JSON; nothing else is checked.
 
-    With ``shortlist``, the newest that many arrivals are looked up first, reading
-    the arrival column only. If they hold enough JSON messages the feed comes from
-    them, and a bound on ``arrival`` reaches the scan; if not, all are searched.
+    One top-k over the scan: each task keeps ``length`` rows. A caller who knows how
+    far back the feed reaches puts a bound on ``arrival`` first, and it reaches the scan.
     """
     readable = messages.withColumn("payload", F.col("value").cast("string")).where(
         F.is_valid_utf8("payload") & X.is_single_json(F.col("payload"))
     )
-    if shortlist:
-        newest = messages.select("arrival").orderBy(F.desc("arrival")).limit(shortlist)
-        since = newest.agg(F.min("arrival")).first()[0]
-        recent = readable.where(F.col("arrival") >= F.lit(since))
-        if since is not None and recent.count() >= length:
-            readable = recent
     return readable.orderBy(F.desc("arrival")).limit(length)
 
 
-def waiting_messages(messages: DataFrame, buffer: int = S.VIEWER_BUFFER) -> DataFrame:
-    """What a slow viewer gets: the oldest ``buffer`` messages; newer ones are dropped."""
-    return messages.orderBy("arrival").limit(buffer)
+def waiting_messages(messages: DataFrame, seen: Column) -> DataFrame:
+    """All messages that came after the last one a viewer has seen (all, if none was)."""
+    return messages.where(seen.isNull() | (F.col("arrival") > seen))
 
 
 def latest_per_symbol(ticks: DataFrame) -> DataFrame:

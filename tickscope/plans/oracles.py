@@ -114,29 +114,72 @@ bad AS (
   FROM messages WHERE event_type = 'error')"""
 
 
+def _regimes(prefix: str = "") -> str:
+    """CTEs from ``windows`` to ``regimes``: every window's changepoint odds and flag.
+
+    One row per symbol and step; ``runs`` lists the surviving run lengths, each with its
+    log probability and its Normal-Gamma mean and beta (kappa = 1 + r, alpha = 1 + r / 2).
+    """
+    p = prefix
+    return f"""
+{p}levels AS MATERIALIZED (
+  SELECT symbol, window_index, row_number() OVER (PARTITION BY symbol ORDER BY window_index) AS i,
+         ln(realized_volatility + 1e-8) AS x
+  FROM {p}windows WHERE realized_volatility IS NOT NULL),
+{p}fold AS (
+  SELECT DISTINCT symbol, CAST(0 AS BIGINT) AS i,
+    [{{'r': CAST(0 AS BIGINT), 'lp': CAST(0 AS DOUBLE), 'm': CAST(0 AS DOUBLE), 'b': CAST(1 AS DOUBLE)}}] AS runs
+  FROM {p}levels
+  UNION ALL
+  SELECT symbol, i, list_filter(
+    list_prepend(
+      {{'r': CAST(0 AS BIGINT), 'lp': ln(CAST(0.01 AS DOUBLE)), 'm': CAST(0 AS DOUBLE), 'b': CAST(1 AS DOUBLE)}},
+      list_transform(seen, lambda s: {{'r': s.r + 1, 'lp': s.lp - top - ln(total) + ln(CAST(0.99 AS DOUBLE)),
+        'm': s.m + (x - s.m) / (s.r + 2), 'b': s.b + (s.r + 1) * (x - s.m) ** 2 / (2 * (s.r + 2))}})),
+    lambda s, k: k <= 2 OR s.lp >= ln(CAST(1e-4 AS DOUBLE))) AS runs
+  FROM (
+    SELECT *, list_sum(list_transform(seen, lambda s: exp(s.lp - top))) AS total
+    FROM (
+      SELECT *, list_max(list_transform(seen, lambda s: s.lp)) AS top
+      FROM (
+        SELECT f.symbol, l.i, l.x, list_transform(f.runs, lambda s: {{'r': s.r, 'm': s.m, 'b': s.b,
+          'lp': s.lp + lgamma(1.5 + s.r / 2) - lgamma(1 + s.r / 2)
+            - ln(2 * pi() * s.b * (s.r + 2) / (s.r + 1)) / 2
+            - (1.5 + s.r / 2) * ln(1 + (s.r + 1) * (l.x - s.m) ** 2 / (2 * s.b * (s.r + 2)))}}) AS seen
+        FROM {p}fold f JOIN {p}levels l ON l.symbol = f.symbol AND l.i = f.i + 1)))),
+{p}regimes AS MATERIALIZED (
+  SELECT w.*, odds AS changepoint_probability,
+         coalesce(f.i > 4 AND odds >= 0.5, FALSE) AS is_regime_change
+  FROM {p}windows w
+  LEFT JOIN {p}levels l ON l.symbol = w.symbol AND l.window_index = w.window_index
+  LEFT JOIN (
+    SELECT symbol, i, exp(runs[1].lp) + exp(runs[2].lp) AS odds FROM {p}fold) f
+    ON f.symbol = l.symbol AND f.i = l.i)"""
+
+
 def _kinds() -> str:
-    """``kinds``: the low-threshold volume events and the volatile user windows."""
+    """``kinds``: low-threshold volume events of the long series, regime changes of the users."""
     users = BY_USER.replace("trades AS", "u_trades AS")
     return (
         f"WITH RECURSIVE {BY_TYPE}, {_windows(LONG_WINDOW)}, {users}, {_windows(DAY_PART, 'u_')}, "
         + _scored("windows", "window_index", 2.0)
-        + """,
+        + f""", {_regimes("u_")},
 kinds AS MATERIALIZED (
   SELECT 'volume_anomaly' AS anomaly_type, symbol, s, e, volume, trade_count, anomaly_score,
          CAST(NULL AS DOUBLE) AS realized_volatility, CAST(NULL AS DOUBLE) AS changepoint_probability
   FROM scored WHERE is_volume_anomaly
   UNION ALL
-  SELECT 'regime_change', symbol, s, e, NULL, NULL, NULL, realized_volatility, 0.75
-  FROM u_windows WHERE realized_volatility > 2.0)"""
+  SELECT 'regime_change', symbol, s, e, NULL, NULL, NULL, realized_volatility, changepoint_probability
+  FROM u_regimes WHERE is_regime_change)"""
     )
 
 
 def _anomalies() -> str:
     return _kinds() + """,
 anomalies AS MATERIALIZED (
-  SELECT symbol AS ticker, s AS window_start, anomaly_type,
-         '{"delivery":1}' AS details, s + INTERVAL '1 hour' AS detected_at
-  FROM kinds GROUP BY ALL)"""
+  SELECT symbol AS ticker, s AS window_start, anomaly_type, e, volume, realized_volatility,
+         anomaly_score, changepoint_probability, s + INTERVAL '1 hour' AS detected_at
+  FROM kinds)"""
 
 
 LISTED = """
@@ -297,20 +340,39 @@ SELECT symbol, epoch_us(s) AS start_us, epoch_us(e) AS end_us, round(volume, 6)
     "volume_anomalies_low_threshold": f"""{LONG}, {_scored("windows", "window_index", 2.0)}
 SELECT symbol, epoch_us(s) AS start_us, round(anomaly_score, 6) AS anomaly_score
 FROM scored WHERE is_volume_anomaly""",
+    "regime_scores": f"""{LONG}, {_regimes()}
+SELECT symbol, window_index, round(realized_volatility, 6) AS realized_volatility,
+  round(changepoint_probability, 6) AS changepoint_probability, is_regime_change
+FROM regimes WHERE realized_volatility IS NOT NULL""",
+    "regime_changes": f"""{USERS}, {_regimes()}
+SELECT symbol, epoch_us(s) AS start_us, epoch_us(e) AS end_us,
+  round(realized_volatility, 6) AS realized_volatility,
+  round(changepoint_probability, 6) AS changepoint_probability
+FROM regimes WHERE is_regime_change""",
+    "anomaly_events": f"""{LONG}, {_regimes()}, {_scored("regimes", "window_index", 2.0)}
+SELECT symbol, epoch_us(s) AS start_us, 'volume_anomaly' AS anomaly_type, CAST(0 AS INTEGER) AS event_order,
+  round(anomaly_score, 6) AS anomaly_score, round(changepoint_probability, 6) AS changepoint_probability
+FROM scored WHERE is_volume_anomaly
+UNION ALL
+SELECT symbol, epoch_us(s), 'regime_change', 1, round(anomaly_score, 6), round(changepoint_probability, 6)
+FROM scored WHERE is_regime_change""",
     "anomaly_union": _kinds() + """
 SELECT anomaly_type, symbol, epoch_us(s) AS start_us, round(volume, 6) AS volume,
-  round(realized_volatility, 6) AS realized_volatility, changepoint_probability FROM kinds""",
+  round(realized_volatility, 6) AS realized_volatility,
+  round(changepoint_probability, 6) AS changepoint_probability FROM kinds""",
     "anomaly_payloads": _kinds() + f"""
 SELECT CASE anomaly_type WHEN 'volume_anomaly' THEN 'volume-anomalies' ELSE 'regime-changes' END AS topic,
   symbol AS key, {_iso('s')} AS window_start, {_iso('e')} AS window_end, round(volume, 6) AS volume,
   round(anomaly_score, 6) AS anomaly_score, round(realized_volatility, 6) AS realized_volatility,
-  changepoint_probability FROM kinds""",
+  round(changepoint_probability, 6) AS changepoint_probability FROM kinds""",
     "anomaly_event_parsing": _kinds() + """
 SELECT CASE anomaly_type WHEN 'volume_anomaly' THEN 'volume-anomalies' ELSE 'regime-changes' END AS topic,
   anomaly_type, symbol, epoch_us(s) AS start_us,
   CASE anomaly_type WHEN 'volume_anomaly' THEN 8 ELSE 5 END AS n_fields FROM kinds""",
-    "anomaly_upsert": _anomalies() + """
-SELECT ticker, epoch_us(window_start) AS start_us, anomaly_type, details,
+    "anomaly_upsert": _anomalies() + f"""
+SELECT ticker, epoch_us(window_start) AS start_us, anomaly_type, {_iso('e')} AS window_end,
+  round(volume, 6) AS volume, round(realized_volatility, 6) AS realized_volatility,
+  round(anomaly_score, 6) AS anomaly_score, round(changepoint_probability, 6) AS changepoint_probability,
   epoch_us(detected_at) AS detected_us FROM anomalies""",
     "newest_anomalies": _anomalies() + LISTED + """
 ORDER BY detected_at DESC, ticker, window_start, anomaly_type LIMIT 50""",
@@ -336,8 +398,9 @@ SELECT event_id AS arrival, symbol AS key,
   CASE WHEN event_type <> 'error' THEN type WHEN broken = 3 THEN 'bar' WHEN broken > 3 THEN 'trade' END AS type
 FROM messages WHERE event_type <> 'error' OR broken > 1
 ORDER BY event_id DESC LIMIT 50""",
-    "waiting_messages": f"""WITH {MESSAGES}
-SELECT event_id AS arrival, "partition" FROM messages ORDER BY event_id LIMIT 1000""",
+    "waiting_messages": f"""WITH {MESSAGES},
+seen AS (SELECT max(event_id) AS last FROM events WHERE event_type = 'purchase')
+SELECT event_id AS arrival, "partition" FROM messages WHERE event_id > (SELECT last FROM seen)""",
     "model_freshness": LONG + """
 SELECT symbol, epoch_us(max(e)) AS updated_us FROM windows GROUP BY symbol""",
     "consumer_lag": f"WITH {MARKS} SELECT group_id, lag FROM lags",

@@ -185,36 +185,32 @@ def regime_changes(spark, sf):
     """User windows: short series with real shifts between quiet and lively users."""
     rows = regime.regime_changes(regime.score_regime(_user_windows(spark, sf)))
     return rows.select(
-        "symbol", "window_start", "window_end", _r("realized_volatility"), _r("changepoint_probability")
+        "symbol", F.unix_micros("window_start").alias("start_us"),
+        F.unix_micros("window_end").alias("end_us"), _r("realized_volatility"),
+        _r("changepoint_probability"),
     )
 
 
 def anomaly_events(spark, sf):
     scored = events.score_windows(_long_windows(spark, sf), z_threshold=LOW_Z)
     return events.anomaly_events(scored).select(
-        "symbol", "window_start", "anomaly_type", "event_order", _r("anomaly_score"),
+        "symbol", F.unix_micros("window_start").alias("start_us"), "anomaly_type", "event_order",
+        _r("anomaly_score"),
         _r("changepoint_probability"),
     )
 
 
 def _both_kinds(spark, sf):
-    """Volume spikes of the long series and, as second kind, volatile user windows.
-
-    Stands in for detector output where the answer has to be checkable in SQL:
-    a window counts as a regime change when its volatility is above 2.
-    """
+    """Both detectors' events: volume spikes of the long series, regime changes of the users."""
     spikes = volume.volume_anomalies(_low_bar(spark, sf))
-    lively = _user_windows(spark, sf).where(F.col("realized_volatility") > 2.0).select(
-        "symbol", "window_start", "window_end", "realized_volatility",
-        F.lit(0.75).alias("changepoint_probability"),
-    )
-    return events.union_events(spikes, lively)
+    shifts = regime.regime_changes(regime.score_regime(_user_windows(spark, sf)))
+    return events.union_events(spikes, shifts)
 
 
 def anomaly_union(spark, sf):
     return _both_kinds(spark, sf).select(
         "anomaly_type", "symbol", F.unix_micros("window_start").alias("start_us"), _r("volume"),
-        _r("realized_volatility"), "changepoint_probability",
+        _r("realized_volatility"), _r("changepoint_probability"),
     )
 
 
@@ -247,30 +243,33 @@ def anomaly_event_parsing(spark, sf):
 
 
 def _anomaly_log(spark, sf):
-    """Every event delivered twice; the second delivery has newer details."""
-    rows = events.event_rows(_both_kinds(spark, sf)).withColumn(
-        "score", F.coalesce(
-            F.get_json_object("details", "$.anomaly_score").cast("double"),
-            F.get_json_object("details", "$.realized_volatility").cast("double"),
-        ),
-    )
-    again = F.explode(F.array(F.lit(0), F.lit(1)))
-    return rows.withColumn("batch", again).select(
-        "ticker", "window_start", "anomaly_type",
-        F.concat(F.lit('{"delivery":'), "batch", F.lit("}")).alias("details"),
+    """Every event delivered twice, the first time with a provisional reading of twice the size."""
+    found = _both_kinds(spark, sf).withColumn("batch", F.explode(F.array(F.lit(0), F.lit(1))))
+
+    def reading(name):
+        return F.when(F.col("batch") == 0, 2 * F.col(name)).otherwise(F.col(name))
+
+    found = found.withColumns({n: reading(n) for n in ("volume", "realized_volatility")})
+    return events.with_details(found).select(
+        F.col("symbol").alias("ticker"), "window_start", "anomaly_type", "details",
         (F.col("window_start") + F.make_dt_interval(hours=F.lit(1) + F.col("batch"))).alias("detected_at"),
-        "batch", "score",
+        "batch",
     )
 
 
 def _anomaly_table(spark, sf):
-    return upsert.current_rows(_anomaly_log(spark, sf).drop("score"), order=["batch"])
+    return upsert.current_rows(_anomaly_log(spark, sf), order=["batch"])
 
 
 def anomaly_upsert(spark, sf):
+    def number(name):
+        return F.round(F.get_json_object("details", f"$.{name}").cast("double"), 6).alias(name)
+
     return _anomaly_table(spark, sf).select(
-        "ticker", F.unix_micros("window_start").alias("start_us"), "anomaly_type", "details",
-        F.unix_micros("detected_at").alias("detected_us"),
+        "ticker", F.unix_micros("window_start").alias("start_us"), "anomaly_type",
+        F.get_json_object("details", "$.window_end").alias("window_end"),
+        number("volume"), number("realized_volatility"), number("anomaly_score"),
+        number("changepoint_probability"), F.unix_micros("detected_at").alias("detected_us"),
     )
 
 
@@ -307,15 +306,18 @@ def anomaly_counts(spark, sf):
 
 def latest_ticks_feed(spark, sf):
     rows = I.raw_messages(spark, sf).withColumn("arrival", F.col("offset"))
-    return views.latest_messages(rows, shortlist=4 * S.FEED_LENGTH).select(
+    return views.latest_messages(rows).select(
         "arrival", F.col("key").cast("string").alias("key"),
         F.get_json_object("payload", "$.type").alias("type"),
     )
 
 
 def waiting_messages(spark, sf):
-    rows = I.raw_messages(spark, sf).select(F.col("offset").alias("arrival"), "partition")
-    return views.waiting_messages(rows)
+    """What a viewer who has seen everything up to the last purchase still has to get."""
+    log = I.table(spark, sf, "events")
+    rows = I.messages(log).select(F.col("offset").alias("arrival"), "partition")
+    seen = log.where("event_type = 'purchase'").agg(F.max("event_id").alias("last"))
+    return views.waiting_messages(rows, seen.scalar())
 
 
 def latest_tick_per_symbol(spark, sf):

@@ -50,7 +50,6 @@ PRICE_LOOKBACK_DAYS = 400
 LIST_LIMIT = 50
 DLQ_INSPECT_LIMIT = 20
 FEED_LENGTH = 50
-VIEWER_BUFFER = 1000
 # ---------------------------------------------------------------------------
 
 

@@ -47,8 +47,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder for reliable checkpoints, taken from the session.
 
     The cluster names a shared folder in ``spark.checkpoint.dir``. Only where it
-    is unset and the master is local (tests) is a folder of our own made; on a
-    cluster a machine-local folder would not survive a lost executor.
+    is unset and everything runs in one process (tests) is a folder of our own made;
+    on a cluster a machine-local folder would not survive a lost executor.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
@@ -58,7 +58,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         "spark.checkpoint.dir", None
     )
     if not configured:
-        if not context.master.startswith("local"):
+        if not (context.master == "local" or context.master.startswith("local[")):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         configured = tempfile.mkdtemp(prefix="tickscope-checkpoint-")
     context.setCheckpointDir(configured)
