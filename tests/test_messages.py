@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickscope import schemas as S
+from tickscope.functions import text as X
 from tickscope.operators import deadletter, normalise, validate, views
 
 TRADE = {
@@ -50,6 +51,10 @@ BAD = [
     (without(TRADE, timestamp="15:30:00"), "invalid timestamp: '15:30:00'"),
     (without(TRADE, timestamp="2024-02-31"), "invalid timestamp: '2024-02-31'"),
     (without(TRADE, timestamp=None), "invalid timestamp: None"),
+    (without(TRADE, timestamp=5), "invalid timestamp: 5"),
+    (without(TRADE, timestamp=20240307), "invalid timestamp: 20240307"),
+    (without(TRADE, type=["trade"]), "unknown tick type: ['trade']"),
+    (without(TRADE, type=True), "unknown tick type: True"),
 ]
 GOOD = [
     (without(TRADE), 1709825400), (without(QUOTE), 1709825400), (without(TRADE, extra={"a": [1]}), 1709825400),
@@ -200,3 +205,33 @@ def test_numbers_that_are_none_stop_the_job(spark, price, size):
     ticks = spark.createDataFrame([("trade", "S", price, size)], "type STRING, symbol STRING, price DOUBLE, size DOUBLE")
     with pytest.raises(Exception, match="without a usable"):
         validate.trades(ticks).collect()
+
+
+TIMES = (
+    "20240307", "2024-W01-1", "2024W011", "2024-W10", "2020-W53-7", "2021-W53-1", "2024-W00-1", "2024-W10-0",
+    "2024-W10-8", "0000-01-01", "0001-01-01", "2024-02-30", "20240230", "2024-03-07t15:30", "2024-03-07_15:30:01",
+    "2024-03-07T153001", "2024-03-07T15", "2024-03-07T24:00", "2024-03-07T15:60", "20240307T153001.25+0530",
+    "2024-03-07T15:30:01.123456789012", "2024-03-07T15:30:01,5Z", "2024-03-07T15:30+19:00", "2024-03-07T15:30-23:59:59",
+    "2024-03-07T15:30+24:00", "2024-03-07T15:3", "2024-3-7", "soon", "", "2024-03-07T", "2024-03-07T15:30:01.",
+)
+
+
+def test_timestamps_are_read_like_the_standard_library_does(spark):
+    from datetime import UTC, datetime, timedelta
+
+    def want(text):
+        try:
+            at = datetime.fromisoformat(text)
+        except ValueError:
+            return None
+        return ((at if at.tzinfo else at.replace(tzinfo=UTC)) - datetime(1970, 1, 1, tzinfo=UTC)) // timedelta(microseconds=1)
+
+    rows = spark.createDataFrame([(t,) for t in TIMES], "t STRING")
+    got = {r["t"]: r["us"] for r in rows.select("t", F.unix_micros(X.iso_timestamp(F.col("t"))).alias("us")).collect()}
+    assert got == {t: want(t) for t in TIMES}
+
+
+def test_fields_of_another_type_are_published_as_they_came(spark):
+    odd = without(TRADE, trade_id="abc-1", conditions="x")
+    ticks = validate.valid_ticks(validate.validate_ticks(raw(spark, [odd])))
+    assert [bytes(r["value"]) for r in normalise.tick_messages(ticks, raw="value").collect()] == [odd]

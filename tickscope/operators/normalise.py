@@ -23,10 +23,12 @@ def to_utc(column, zone: str | None = None):
     return F.to_utc_timestamp(column, zone) if zone else column.cast("timestamp")
 
 
-def tick_messages(ticks: DataFrame, topic: str = S.TICKS_TOPIC) -> DataFrame:
+def tick_messages(ticks: DataFrame, topic: str = S.TICKS_TOPIC, raw: str | None = None) -> DataFrame:
     """Tick rows (``ts`` + typed columns) as ``topic, key, value``.
 
-    The key is the symbol, so one symbol stays in one topic partition in order.
+    The key is the symbol, so one symbol stays in one topic partition in order. Ticks
+    that came in as messages go out as their ``raw`` value: fields of another type
+    than the typed columns', and fields nobody knows, stay as they were.
     """
     rows = ticks.withColumn("timestamp", X.iso_text(F.col("ts")))
 
@@ -41,6 +43,6 @@ def tick_messages(ticks: DataFrame, topic: str = S.TICKS_TOPIC) -> DataFrame:
     return rows.select(
         F.lit(topic).alias("topic"),
         F.col("symbol").cast("binary").alias("key"),
-        value.cast("binary").alias("value"),
+        (value.cast("binary") if raw is None else F.col(raw)).alias("value"),
         *extra,
     )

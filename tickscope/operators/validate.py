@@ -1,4 +1,7 @@
-"""Validation of raw tick and anomaly-event payloads, all inside Catalyst."""
+"""Validation of raw tick and anomaly-event payloads, all inside Catalyst.
+
+Fixed values: the error texts.
+"""
 
 from __future__ import annotations
 
@@ -35,6 +38,10 @@ def validate_ticks(raw: DataFrame, value: str = "value") -> DataFrame:
         .withColumn("_ts", X.iso_timestamp(F.col("tick.timestamp")))
     )
     kind = F.col("tick.type")
+    _, shown_kind = X.json_field(F.col("_text"), "type")
+    is_text, shown_time = X.json_field(F.col("_text"), "timestamp")
+    # Digits alone may be a number, which is no timestamp.
+    numeric = F.col("tick.timestamp").rlike(r"^\d+$") & ~is_text
     absent = F.when(kind == "trade", X.missing_keys(S.TRADE_KEYS, F.col("_keys"))).when(
         kind == "quote", X.missing_keys(S.QUOTE_KEYS, F.col("_keys"))
     )
@@ -46,9 +53,9 @@ def validate_ticks(raw: DataFrame, value: str = "value") -> DataFrame:
         (F.col("_keys").isNull(),
          F.concat(F.lit("expected a JSON object, got "), X.json_kind(F.col("_text")))),
         (kind.isNull() | ~kind.isin("trade", "quote"),
-         F.concat(F.lit("unknown tick type: "), X.quoted(kind))),
+         F.concat(F.lit("unknown tick type: "), shown_kind)),
         (F.size(absent) > 0, F.concat(F.lit("missing required field(s): "), X.quoted_list(absent))),
-        (ts.isNull(), F.concat(F.lit("invalid timestamp: "), X.quoted(F.col("tick.timestamp")))),
+        (ts.isNull() | numeric, F.concat(F.lit("invalid timestamp: "), shown_time)),
     ])
     typed = [
         F.col(f"tick.{name}").alias(name)
