@@ -235,3 +235,9 @@ def test_fields_of_another_type_are_published_as_they_came(spark):
     odd = without(TRADE, trade_id="abc-1", conditions="x")
     ticks = validate.valid_ticks(validate.validate_ticks(raw(spark, [odd])))
     assert [bytes(r["value"]) for r in normalise.tick_messages(ticks, raw="value").collect()] == [odd]
+
+
+def test_the_last_of_equal_keys_counts(spark):
+    twice = without(TRADE).replace(b'"price": 48.25', b'"price": 1.0, "price": 48.25')
+    row = validate.validate_ticks(raw(spark, [twice])).first()
+    assert (row["error"], row["price"]) == (None, 48.25)
