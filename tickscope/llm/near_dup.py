@@ -13,7 +13,9 @@ member with each other one; what they verify joins classes into components. Only
 buckets that still hold several components are then searched for pairs across
 components, so a large group of copies or near copies costs its size, not its square.
 Sketch agreement, far below what similar sets show, and set sizes are compared before
-full sets are.
+full sets are, and so are parity bitmaps: bit b of a set tells whether an odd number of
+its shingles hash to b. Each differing bit needs a shingle that only one set has, so
+bitmaps that differ too much rule a link out with certainty.
 
 At similarity 0.8 a pair shares none of the BANDS bands with a probability of 4e-9.
 
@@ -42,6 +44,7 @@ PERCENT = 80
 # standard deviation of 1.8 %; pairs below this are 5.5 deviations away.
 LEAST_AGREEMENT = int(0.75 * SIZE)
 PLANE = SIZE // 64  # words of one bit of all coordinates
+PARITY = 16  # 64-bit words of a parity bitmap; more would outgrow what the JVM compiles
 NO_ID = 1 << 62
 CHUNK = 1 << 20  # shingles sketched together
 ALL_ONES = (1 << 64) - 1
@@ -126,7 +129,18 @@ def two_bits(sketch: np.ndarray) -> np.ndarray:
     return np.concatenate(planes, axis=1).view(np.int64)
 
 
-SKETCH_SCHEMA = "node bigint, n_shingles bigint, class binary, bands array<bigint>, bits array<bigint>"
+def parity_bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    """One row of PARITY words for each set: its shingles flip the bits they hash to."""
+    owner = np.repeat(np.arange(len(sets), dtype=np.int64), [len(s) for s in sets])
+    items = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    word = (items >> np.uint64(6) & np.uint64(PARITY - 1)).astype(np.int64)
+    out = np.zeros(len(sets) * PARITY, dtype=np.uint64)
+    np.bitwise_xor.at(out, owner * PARITY + word, np.uint64(1) << (items & np.uint64(63)))
+    return out.reshape(-1, PARITY).view(np.int64)
+
+
+SKETCH_SCHEMA = (
+    "node bigint, n_shingles bigint, class binary, bands array<bigint>, bits array<bigint>, parity array<bigint>")
 
 
 def node_of(text):
@@ -145,15 +159,16 @@ def sketched(nodes: DataFrame, width: int) -> DataFrame:
     def rows(ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
         full = [i for i, s in enumerate(sets) if len(s)]
         made = sketches([sets[i] for i in full])
-        bands, bits = [None] * len(sets), [None] * len(sets)
+        bands, bits, parity = ([None] * len(sets) for _ in range(3))
         if full:
-            for i, b, o in zip(full, band_keys(made), two_bits(made)):
-                bands[i], bits[i] = b, o
+            flips = parity_bitmaps([sets[i] for i in full])
+            for i, b, o, f in zip(full, band_keys(made), two_bits(made), flips):
+                bands[i], bits[i], parity[i] = b, o, f
         classes = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
         return pa.RecordBatch.from_arrays(
             [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.binary()),
-             pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
-            ["node", "n_shingles", "class", "bands", "bits"])
+             *[pa.array(c, pa.list_(pa.int64())) for c in (bands, bits, parity)]],
+            ["node", "n_shingles", "class", "bands", "bits", "parity"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, ids, sets, held = Shingler(width), [], [], 0
@@ -213,23 +228,33 @@ class Search:
         self.classes = written(full.groupBy("class").agg(F.min("node").alias("rep")))
         reps = self.classes.select(F.col("rep").alias("node"), "class")
         own = full.join(reps, ["node", "class"], "left_semi").dropDuplicates(["node", "class"])
-        self.facts = written(own.select("node", "n_shingles", "bits", "bands"))
+        self.facts = written(own.select("node", "n_shingles", "bits", "parity", "bands"))
         self.keys = self.facts.select("node", F.explode("bands").alias("key"))
 
     def likely(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose sizes and sketches allow the similarity."""
         for side in "ab":
-            facts = self.facts.select(F.col("node").alias(side), F.col("n_shingles").alias(f"n{side}"), F.col("bits").alias(f"bits{side}"))
+            facts = self.facts.select(F.col("node").alias(side), *self.named(side, "n_shingles", "bits", "parity"))
             pairs = pairs.join(facts, side)
         return pairs.where(self.alike()).select("a", "b", "na", "nb")
 
+    @staticmethod
+    def named(side: str, *columns: str) -> list:
+        return [F.col(c).alias(("n" if c == "n_shingles" else c) + side) for c in columns]
+
     def alike(self):
+        """Sizes, sketches and parity bitmaps of sides a and b allow the similarity."""
         same = F.lit(SIZE)
         for i in range(PLANE):
             differ = [F.get("bitsa", F.lit(k)).bitwiseXOR(F.get("bitsb", F.lit(k))) for k in (i, i + PLANE)]
             same = same - F.bit_count(differ[0].bitwiseOR(differ[1]))
         small, large = F.least("na", "nb"), F.greatest("na", "nb")
-        return (100 * small >= self.percent * large) & (same >= LEAST_AGREEMENT)
+        apart = F.lit(0)
+        for i in range(PARITY):
+            apart = apart + F.bit_count(F.get("paritya", F.lit(i)).bitwiseXOR(F.get("parityb", F.lit(i))))
+        # At the similarity asked for, so many shingles at most are in one set alone.
+        few = (100 + self.percent) * apart <= (100 - self.percent) * (F.col("na") + F.col("nb"))
+        return (100 * small >= self.percent * large) & (same >= LEAST_AGREEMENT) & few
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose full sets are similar enough."""
@@ -269,9 +294,9 @@ class Search:
         rows = self.labelled(large.withColumnRenamed("node", "a"), labels, "a")
         mixed = rows.groupBy("key").agg(F.min("la").alias("low"), F.max("la").alias("high")).where("low <> high")
         rows = written(rows.join(mixed.select("key"), "key", "left_semi").join(
-            self.facts.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("bits").alias("bitsa"), F.col("bands").alias("bandsa")), "a"))
+            self.facts.select(F.col("node").alias("a"), *self.named("a", "n_shingles", "bits", "parity", "bands")), "a"))
         other = rows.select(
-            F.col("key").alias("other"), F.col("a").alias("b"), *[F.col(f"{n}a").alias(f"{n}b") for n in ("l", "n", "bits", "bands")])
+            F.col("key").alias("other"), F.col("a").alias("b"), *[F.col(f"{n}a").alias(f"{n}b") for n in ("l", "n", "bits", "parity", "bands")])
         # A pair is met in the first bucket it shares, not in each.
         first = F.col("key") == F.array_min(F.array_intersect("bandsa", "bandsb"))
         met = rows.join(other, (F.col("key") == F.col("other")) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & self.alike() & first)
