@@ -215,6 +215,22 @@ def base_spans(t):
     return out
 
 
+def test_parity_bitmaps_never_exceed_the_difference():
+    some = np.random.default_rng(5)
+    empty = np.zeros(0, np.uint64)
+    assert near_dup.parity_bitmaps([]).shape == (0, near_dup.PARITY)
+    assert not near_dup.parity_bitmaps([empty]).any()
+    for size in (1, 40, 900, 20_000):
+        pool = np.unique(near_dup.mix(some.integers(0, 1 << 62, 2 * size).astype(np.uint64)))
+        a, b = np.unique(some.choice(pool, size)), np.unique(some.choice(pool, size))
+        x, y = near_dup.parity_bitmaps([a, b])
+        differing = sum(int(w).bit_count() for w in (x ^ y).view(np.uint64))
+        assert differing <= len(np.setxor1d(a, b))
+        assert (near_dup.parity_bitmaps([a, empty, a])[2] == x).all()
+        if size == 40:  # few shingles in many bits: close to exact
+            assert differing >= 0.8 * len(np.setxor1d(a, b))
+
+
 def test_pii(docs, texts):
     want = collections.Counter()
     for i, t in texts:
