@@ -35,6 +35,7 @@ from tickscope.llm.common import Memo, bound_batches, hash_of, ids_and_texts, ke
 
 CAPACITY, SEPARATOR = 2048, 0
 ROUNDS, LEARNING_RATE = 300, 0.5
+WORDS_KEPT = 300_000  # words whose ids a worker remembers, in each of the memo's two generations
 MARK, CHUNK = "\x02", 2000  # a character that no text on the fast path has; words encoded together
 # Fixed value: the pre-token pattern of the lower-casing vocabulary.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -70,7 +71,7 @@ class WordEncoder:
         self.model = Tokenizer.from_str(json.dumps(parts))
         self.mark = self.model.encode(MARK, add_special_tokens=False).ids
         self.plain_shape &= len(self.mark) == 1
-        self.words = Memo(self._words)
+        self.words = Memo(self._words, WORDS_KEPT)
 
     def _words(self, words: list[str]) -> list[bytes]:
         """Ids of each word: many are encoded in one text, with a mark of one token in between."""
