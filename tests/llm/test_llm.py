@@ -250,6 +250,24 @@ def test_pii(docs, texts):
     assert not any(kind == "email" for t in left for kind, _, _ in base_spans(t))
 
 
+def test_spelled_out_addresses_are_left_to_the_classifier(spark):
+    spelled = {
+        "write to jane at example dot org today": (9, 32), "jane (at) example (dot) org": (0, 27),
+        "mail: bob.ray at site dot de": (6, 28),
+    }
+    numbers = ["card 4111 1111 1111 1112", "host 1.2.3.456"]  # fail their checksum and range
+    clear = ["mail a.b@c.com now", "see x@y.org", "call +1 (456) 555-2186"] * 20
+    texts = [*spelled, "we met at noon dot matrix", *numbers, *clear]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in pii.pii_table(docs).collect()}
+    hidden = {r["doc_id"]: r["text"] for r in pii.masked(docs).collect()}
+    for i, (text, (start, end)) in enumerate(spelled.items()):
+        assert (got[i]["spans"], got[i]["n_added"]) == (f"email:{start}:{end}", 1)
+        assert hidden[i] == text[:start] + "<EMAIL>" + text[end:]
+    for i, text in list(enumerate(texts))[len(spelled):len(spelled) + 1 + len(numbers)]:
+        assert got[i]["n_added"] == 0 and hidden[i] == text
+
+
 def test_toxicity_on_held_out_rows(spark):
     rnd = random.Random(4)
     clean, bad = [f"word{k}" for k in range(300)], ["grumblefoo", "zorkel", "zorkelst", "zorkelheit", "blaharg"]

@@ -259,7 +259,8 @@ def found_spans(docs: DataFrame, keep: list[str], accept: float = ACCEPT) -> tup
     patterns = {(r["kind"], *[r[j] for j in LABELERS]): float(r["n"]) for r in counted}
     weights = train(patterns, em(patterns))
     # Numbers that fail their checksum or range are no card or address, however they look.
-    sure = F.filter(F.col(name)["loose"], lambda s: (s["votes"]["check"] > 0) & (probability(s, weights) >= accept))
+    # Spelled-out e-mail addresses have neither: the classifier alone decides on them.
+    sure = F.filter(F.col(name)["loose"], lambda s: (s["votes"]["check"] >= 0) & (probability(s, weights) >= accept))
 
     def apart(spans):
         # Of overlapping candidates of different kinds, the first kind listed stays.
