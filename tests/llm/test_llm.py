@@ -190,6 +190,28 @@ def test_near_dedup(spark, docs):
     assert stage.columns == docs.columns and stage.where("doc_id IS NULL").count() == 2
 
 
+def test_different_texts_under_one_id_keep_their_links(spark):
+    rnd = random.Random(8)
+    rows, want = [], collections.Counter()
+
+    def text(n):
+        return [f"w{rnd.randrange(10 ** 6)}" for _ in range(n)]
+
+    for k in range(12):
+        one, two = text(60), text(90 + k)
+        # Ids a < b < c: b has two texts, a is near its first one and c near its second one.
+        a, b, c = 10 * k, 10 * k + 1, 10 * k + 2
+        group = [(a, [*one, "x"], a), (b, one, a), (b, two, b), (c, [*two, "y"], b)]
+        rows += [(i, " ".join(w)) for i, w, _ in group]
+        want.update((i, len(w) - 1, component, i == component) for i, w, component in group)
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = near_dup.near_dup_table(frame)
+    assert rows_of(got, "doc_id", "n_shingles", "component_id", "kept") == want
+    kept = near_dup.one_of_each(frame, width=2)
+    assert rows_of(kept, "doc_id", "text") == collections.Counter(
+        row for row, i in zip(rows, range(len(rows))) if i % 4 in (0, 2))
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(0)
     for n in (1, 3, 40, 3000):

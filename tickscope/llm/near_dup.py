@@ -7,8 +7,9 @@ SIZE + j throws every shingle into bin j, so all coordinates are filled at the l
 then. Two sketches agree in about as many coordinates as their sets are similar, with
 concentration around it, for sets of any size.
 
-Documents of equal sets are one class, known by its smallest id. The bands of the class
-representatives give buckets. Candidates are first the pairs of a bucket's smallest
+Documents of equal sets are one class. Classes are numbered in the order of their
+smallest ids, and only the last step goes from numbers to ids. The bands of the classes
+give buckets. Candidates are first the pairs of a bucket's smallest
 member with each other one; what they verify joins classes into components. Only
 buckets that still hold several components are then searched for pairs across
 components, so a large group of copies or near copies costs its size, not its square.
@@ -21,7 +22,8 @@ At similarity 0.8 a pair shares none of the BANDS bands with a probability of 4e
 
 Null or empty text: an empty set, linked with nothing. Rows without an id take part, a
 component without any id has a null one, and each such row is kept. Repeated rows are
-copies: same component, kept alike.
+copies: same component, kept alike. Different texts under one id are told apart: each
+is linked by its own set and kept or not on its own, and a shared id joins nothing.
 """
 
 from __future__ import annotations
@@ -140,7 +142,7 @@ def parity_bitmaps(sets: list[np.ndarray]) -> np.ndarray:
 
 
 SKETCH_SCHEMA = (
-    "node bigint, n_shingles bigint, class binary, bands array<bigint>, bits array<bigint>, parity array<bigint>")
+    "node bigint, hash bigint, n_shingles bigint, class binary, bands array<bigint>, bits array<bigint>, parity array<bigint>")
 
 
 def node_of(text):
@@ -149,14 +151,15 @@ def node_of(text):
 
 
 def with_nodes(docs: DataFrame) -> DataFrame:
+    """node, hash, text: the hash tells texts under one id apart."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(node_of(text).alias("node"), text.alias("text"))
+    return docs.select(node_of(text).alias("node"), F.xxhash64(text).alias("hash"), text.alias("text"))
 
 
 def sketched(nodes: DataFrame, width: int) -> DataFrame:
     bound_batches(nodes.sparkSession)
 
-    def rows(ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
+    def rows(ids: list, hashes: list, sets: list[np.ndarray]) -> pa.RecordBatch:
         full = [i for i, s in enumerate(sets) if len(s)]
         made = sketches([sets[i] for i in full])
         bands, bits, parity = ([None] * len(sets) for _ in range(3))
@@ -166,22 +169,23 @@ def sketched(nodes: DataFrame, width: int) -> DataFrame:
                 bands[i], bits[i], parity[i] = b, o, f
         classes = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.binary()),
-             *[pa.array(c, pa.list_(pa.int64())) for c in (bands, bits, parity)]],
-            ["node", "n_shingles", "class", "bands", "bits", "parity"])
+            [pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+             pa.array(classes, pa.binary()), *[pa.array(c, pa.list_(pa.int64())) for c in (bands, bits, parity)]],
+            ["node", "hash", "n_shingles", "class", "bands", "bits", "parity"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, ids, sets, held = Shingler(width), [], [], 0
+        shingler, ids, hashes, sets, held = Shingler(width), [], [], [], 0
         for batch in batches:
             ids += batch.column("node").to_pylist()
+            hashes += batch.column("hash").to_pylist()
             new = shingler.sets(batch.column("text").to_pylist())
             sets += new
             held += sum(map(len, new))
             if held > CHUNK:
-                yield rows(ids, sets)
-                ids, sets, held = [], [], 0
+                yield rows(ids, hashes, sets)
+                ids, hashes, sets, held = [], [], [], 0
         if ids:
-            yield rows(ids, sets)
+            yield rows(ids, hashes, sets)
 
     return nodes.mapInArrow(run, SKETCH_SCHEMA)
 
@@ -225,10 +229,11 @@ class Search:
     def __init__(self, nodes: DataFrame, sketch: DataFrame, width: int, percent: int):
         self.nodes, self.width, self.percent = nodes, width, percent
         full = sketch.where("n_shingles > 0")
-        self.classes = written(full.groupBy("class").agg(F.min("node").alias("rep")))
-        reps = self.classes.select(F.col("rep").alias("node"), "class")
-        own = full.join(reps, ["node", "class"], "left_semi").dropDuplicates(["node", "class"])
-        self.facts = written(own.select("node", "n_shingles", "bits", "parity", "bands"))
+        # From here on, a node is the number of a class; ``rep`` is its smallest id.
+        reps = full.groupBy("class").agg(F.min("node").alias("rep")).orderBy("rep", "class")
+        self.classes = written(reps.withColumn("node", F.monotonically_increasing_id()))
+        own = full.withColumnRenamed("node", "rep").join(self.classes, ["rep", "class"]).dropDuplicates(["node"])
+        self.facts = written(own.select("node", "rep", "hash", "n_shingles", "bits", "parity", "bands"))
         self.keys = self.facts.select("node", F.explode("bands").alias("key"))
 
     def likely(self, pairs: DataFrame) -> DataFrame:
@@ -259,7 +264,8 @@ class Search:
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose full sets are similar enough."""
         wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-        texts = self.nodes.join(wanted, "node", "left_semi")
+        rows = self.facts.join(wanted, "node", "left_semi").select("node", "rep", "hash")
+        texts = self.nodes.withColumnRenamed("node", "rep").join(rows, ["rep", "hash"]).select("node", "text")
         sets = written(shingle_sets(texts, self.width).dropDuplicates(["node"]))
         for side in "ab":
             pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("shingles").alias(f"s{side}")), side)
@@ -304,15 +310,17 @@ class Search:
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
-    """node, n_shingles, component per row; see :func:`node_of` for what a node is."""
+    """node, hash, n_shingles, component per row; see :func:`node_of` for what a node is."""
     nodes = with_nodes(docs)
     sketch = written(sketched(nodes, width))
     search = Search(nodes, sketch, width, percent)
     labels = components(search.links())
-    found = search.classes.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
-    of_class = found.select("class", F.coalesce("label", "rep").alias("component"))
-    rows = sketch.select("node", "n_shingles", "class").join(of_class, "class", "left")
-    return rows.select("node", "n_shingles", F.coalesce("component", "node").alias("component"))
+    # The smallest number of a component is that of its smallest id.
+    smallest = search.classes.select(F.col("node").alias("label"), F.col("rep").alias("component"))
+    found = search.classes.join(labels.join(smallest, "label"), "node", "left")
+    of_class = found.select("class", F.coalesce("component", "rep").alias("component"))
+    rows = sketch.select("node", "hash", "n_shingles", "class").join(of_class, "class", "left")
+    return rows.select("node", "hash", "n_shingles", F.coalesce("component", "node").alias("component"))
 
 
 def near_dup_table(docs: DataFrame, width: int = 2, percent: int = PERCENT) -> DataFrame:
@@ -329,9 +337,9 @@ def near_dup_table(docs: DataFrame, width: int = 2, percent: int = PERCENT) -> D
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
     """The rows whose id is the smallest of their component; repeated rows of it all stay."""
-    node, lost = fresh(docs, "_node", "_lost")
+    node, own, lost, theirs = fresh(docs, "_node", "_hash", "_lost", "_theirs")
     found = near_duplicates(docs.select("doc_id", "text"), width, percent)
-    dropped = found.where("node <> component").select(F.col("node").alias(lost)).distinct()
+    dropped = found.where("node <> component").select(F.col("node").alias(lost), F.col("hash").alias(theirs)).distinct()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.withColumn(node, node_of(text))
-    return rows.join(dropped, F.col(node) == F.col(lost), "left_anti").select(*docs.columns)
+    rows = docs.withColumn(node, node_of(text)).withColumn(own, F.xxhash64(text))
+    return rows.join(dropped, (F.col(node) == F.col(lost)) & (F.col(own) == F.col(theirs)), "left_anti").select(*docs.columns)
