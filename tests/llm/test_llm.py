@@ -111,6 +111,19 @@ def test_packing_plans_beat_greedy_ones():
     assert sum(n for _, n in plan) <= sum(packing.best_fit(collections.Counter(), histogram, 2048).values())
 
 
+def test_packing_plans_without_exact_fills():
+    # All lengths are multiples of 3, so no configuration has 2048 tokens; 9,000 sequences suffice.
+    histogram = {1053: 6000, 570: 6000, 540: 6000, 453: 12_000}
+    plan = packing.packing_plan(histogram)
+    used = collections.Counter()
+    for configuration, n in plan:
+        assert n > 0 and sum(length * k for length, k in configuration) <= 2048
+        for length, k in configuration:
+            used[length] += n * k
+    assert used == collections.Counter(histogram)
+    assert sum(n for _, n in plan) <= 1.03 * 9000
+
+
 def test_quality_base_measures(docs, texts):
     word = re.compile(r"[^\x20\x09-\x0D]+")
     want = collections.Counter()

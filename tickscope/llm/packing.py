@@ -3,12 +3,15 @@
 1. Texts become token ids, a separator follows, and documents longer than a sequence
    are cut. Only (length, count) pairs of the pieces go to the driver: at most
    ``capacity`` rows, however many documents there are.
-2. A configuration is a multiset of lengths that fits one sequence. The program that
-   covers the histogram with the fewest configurations is solved by multiplicative
-   weights: every length has a price, a knapsack dynamic program finds the dearest
-   configuration, it is used as often as whole pieces allow, and prices fall with the
-   share of their demand that is met. What the rounds leave over is packed best fit,
-   in bulk per length.
+2. A configuration is a multiset of lengths that fits one sequence. Every length has a
+   price, and a knapsack dynamic program finds the dearest configuration. First, full
+   configurations are taken greedily, as often as whole pieces allow, and the rest is
+   packed best fit, in bulk per length. If that needs over GAP more sequences than the
+   tokens do, the program that covers the histogram with the fewest configurations is
+   solved by multiplicative weights: prices fall with the share of demand covered, and
+   the configurations, wasteful ones included, add up to a fractional cover, until it is
+   within GAP of the dual bound. It is scaled to the demand and rounded down, best fit
+   packs the leftover, and the shorter plan is taken.
 3. The plan says how many sequences of which configuration there are. Pieces are
    numbered within their length by counts of hashed groups, so no length is gathered
    in one task, and the number alone tells sequence and offset.
@@ -35,6 +38,7 @@ from tickscope.llm.common import Memo, bound_batches, hash_of, ids_and_texts, ke
 
 CAPACITY, SEPARATOR = 2048, 0
 ROUNDS, LEARNING_RATE = 300, 0.5
+GAP, COVER_RATE, COVER_ROUNDS = 0.01, 0.1, 1000  # a cover stops there at the latest, with its gap as it is
 WORDS_KEPT = 300_000  # words whose ids a worker remembers, in each of the memo's two generations
 MARK, CHUNK = "\x02", 2000  # a character that no text on the fast path has; words encoded together
 # Fixed value: the pre-token pattern of the lower-casing vocabulary.
@@ -223,6 +227,41 @@ def best_fit(plan: Counter, histogram: dict[int, int], capacity: int) -> Counter
     return out
 
 
+def fractional_cover(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> dict[tuple, float]:
+    """Configurations and their uses, fractions too, that cover ``demand``: near the linear program's optimum."""
+    at = {int(n): i for i, n in enumerate(lengths)}
+    endless = np.full(len(lengths), np.inf)
+    uses: dict[tuple, float] = {}
+    share, total, bound = np.zeros(len(lengths)), 0.0, 0.0
+    for _ in range(max(COVER_ROUNDS, 2 * len(lengths))):
+        prices = np.exp(-COVER_RATE * (share - share.min())) / demand
+        found = best_configuration(lengths, prices, endless, capacity)
+        index = np.array([at[n] for n in found], dtype=np.int64)
+        pieces = np.array(list(found.values()), dtype=float)
+        # Any prices, divided by the value of the dearest configuration, are feasible for the dual.
+        bound = max(bound, float((prices * demand).sum() / (prices[index] * pieces).sum()))
+        n = float((demand[index] / pieces).min())
+        configuration = tuple(sorted(found.items(), reverse=True))
+        uses[configuration] = uses.get(configuration, 0.0) + n
+        share[index] += n * pieces / demand[index]
+        total += n
+        if share.min() > 0 and total / share.min() <= (1 + GAP) * bound:
+            break
+    scale = float(share.min())
+    return {c: n / scale for c, n in uses.items()} if scale > 0 else {}
+
+
+def rounded(cover: dict[tuple, float], histogram: dict[int, int], capacity: int) -> Counter:
+    """A whole plan: ``cover`` rounded down, no piece used twice, and best fit for the leftover."""
+    left, plan = Counter(histogram), Counter()
+    for configuration, n in sorted(cover.items(), key=lambda item: (-item[1], item[0])):
+        n = min(int(n + 1e-9), *(left[length] // k for length, k in configuration))
+        if n > 0:
+            plan[configuration] += n
+            left.subtract({length: n * k for length, k in configuration})
+    return best_fit(plan, +left, capacity)
+
+
 def packing_plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS,
                  rate: float = LEARNING_RATE) -> list[tuple[tuple[tuple[int, int], ...], int]]:
     """Configurations ((length, pieces), ...) and how many sequences have each."""
@@ -251,7 +290,12 @@ def packing_plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: in
         prices[index] *= np.exp(-rate * np.maximum(share, 1e-3))
         prices *= (lengths / capacity * demand).sum() / (prices * demand).sum()
     rest = {int(n): int(k) for n, k in zip(lengths, left) if k > 0}
-    return sorted(best_fit(plan, rest, capacity).items(), reverse=True)
+    greedy = best_fit(plan, rest, capacity)
+    least = -(-int((lengths * demand).sum()) // capacity)
+    if greedy.total() > least + max(1, GAP * least):
+        covering = rounded(fractional_cover(lengths, demand, capacity), histogram, capacity)
+        greedy = min(greedy, covering, key=Counter.total)
+    return sorted(greedy.items(), reverse=True)
 
 
 # --- 3. pieces into the plan --------------------------------------------------------------
