@@ -103,20 +103,63 @@ def test_step_tables_agree_with_following_the_chain():
         assert state == want and whole.apply(NEVER, -1, width) == want
 
 
+def test_step_tables_keep_only_what_an_open_window_can_ask_for():
+    rng = np.random.default_rng(4)
+    for width in (1, 10, 200, 5000):
+        ts = np.cumsum(rng.integers(0, 6, 4000)) - rng.integers(0, 9, 4000)
+        parts = np.split(ts, 50)
+        floors = [NEVER, *np.maximum.accumulate([p.max() for p in parts])[:-1].tolist()]
+        level = [StepTable.of_trades(p, width, f) for p, f in zip(parts, floors)]
+        states, state = [], (NEVER, -1)
+        for table in level:
+            states.append(state)
+            state = table.apply(*state, width)
+        while len(level) > 1:  # pairwise rounds
+            level = [level[i].then(level[i + 1], width) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+            for table in level:
+                asked = ts[(ts > table.floor) & (ts < table.floor + width)]
+                assert len(table.due) <= len(np.unique(asked)) + 1
+        assert level[0].apply(NEVER, -1, width) == state
+        # From the middle on, the combined table leads from the state there to the same end.
+        half = [StepTable.of_trades(p, width, f) for p, f in zip(parts[25:], floors[25:])]
+        whole = half[0]
+        for table in half[1:]:
+            whole = whole.then(table, width)
+        assert whole.apply(*states[25], width) == state
+
+
 def test_chunks_are_ordered_bounded_and_only_for_hot_keys(spark):
-    rows = frame(spark, random_trades(8, 2000)).select("symbol", "arrival")
-    cut = hotkeys.chunk_hot_keys(rows, "symbol", "arrival", 500)
+    rows = frame(spark, random_trades(8, 2000)).select("symbol", "arrival", "price")
+    buckets = hotkeys.chunk_hot_keys(rows, "symbol", "arrival", 500, top=F.max("arrival"))
+    cut = hotkeys.with_buckets(rows, buckets, "symbol", "arrival", 500, "chunk", "top")
     got = cut.groupBy("symbol", "chunk").agg(
-        F.count(F.lit(1)).alias("n"), F.min("arrival").alias("lo"), F.max("arrival").alias("hi")
+        F.count(F.lit(1)).alias("n"), F.min("arrival").alias("lo"), F.max("arrival").alias("hi"), F.max("top").alias("top")
     ).orderBy("symbol", "chunk").collect()
     assert sum(r["n"] for r in got) == 2000
     assert {r["symbol"] for r in got if r["chunk"] is not None} == {"A"}
     hot = [r for r in got if r["symbol"] == "A"]
-    assert len(hot) >= 3 and all(r["n"] <= 500 + 16 for r in hot)
+    assert len(hot) >= 3 and all(r["n"] <= 500 + 16 and r["top"] == r["hi"] for r in hot)
     assert all(a["hi"] < b["lo"] for a, b in zip(hot, hot[1:]))
     assert hotkeys.chunk_hot_keys(rows, "symbol", "arrival", 5000) is None
 
 
+@pytest.mark.parametrize("per_bucket", [1, 8, 1 << 20])
+def test_log_returns_are_carried_over_bucket_borders(spark, per_bucket):
+    rows = random_trades(9, 800)
+    got = anchored.log_returns_of(frame(spark, rows), per_bucket)
+    last, want = {}, set()
+    for symbol, arrival, _, price, _ in rows:
+        before = last.get(symbol)
+        ret = math.log(price / before) if before and price else None
+        want.add((symbol, arrival, before, None if ret is None else round(ret, 9)))
+        last[symbol] = price
+    assert {(r["symbol"], r["arrival"], r["previous_price"], None if r["log_return"] is None else round(r["log_return"], 9))
+            for r in got.collect()} == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    trades_ordered = [x for x in plan.splitlines() if "Window [" in x and "row_number" in x]
+    assert len(trades_ordered) == 1 and "_bucket" in trades_ordered[0].split("windowspecdefinition(")[1].split(")")[0]
+
+
 def test_one_sort_and_one_shuffle_before_the_fold(spark):
     plan = anchored.window_summaries(frame(spark, random_trades(1, 50)))._jdf.queryExecution().executedPlan().toString()
     before_fold = plan[plan.index("MapInArrow"):]

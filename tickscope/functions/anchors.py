@@ -37,26 +37,32 @@ def log_returns(price: np.ndarray, previous: np.ndarray) -> np.ndarray:
 
 
 class StepTable:
-    """What one stretch of trades does to the open window, for any open window.
+    """What one stretch of trades does to the open window, for any window open before it.
 
     If the window open before the stretch started at ``a``, then the first entry
     ``k`` with ``a + width <= due[k]`` gives the start of the window open after
     the stretch (``out[k]``) and how many windows were opened in it
     (``opened[k]``); with no such entry the open window stays as it was. Two
-    tables for neighbouring stretches combine into one, so long series can be
-    cut into stretches, handled apart and put together in a tree.
+    tables for neighbouring stretches combine into one, in any grouping, so long
+    series can be cut into stretches, handled apart and scanned in rounds.
+
+    ``floor`` is the latest time before the stretch. No open window is due later than
+    ``floor + width``, so entries beyond the first that reaches it are never asked
+    for and not kept, in a combined table neither: its size follows the trades of one
+    window width, not the length of the stretch.
     """
 
-    __slots__ = ("due", "out", "opened")
+    __slots__ = ("due", "out", "opened", "floor")
 
-    def __init__(self, due, out, opened):
+    def __init__(self, due, out, opened, floor: int):
         self.due = np.asarray(due, dtype=np.int64)
         self.out = np.asarray(out, dtype=np.int64)
         self.opened = np.asarray(opened, dtype=np.int64)
+        self.floor = floor
 
     @classmethod
     def of_trades(cls, ts: np.ndarray, width: int, floor: int) -> StepTable:
-        """``floor`` is the latest time before the stretch (``NEVER`` if none)."""
+        """The table of trades in arrival order; ``floor`` is ``NEVER`` if none came before."""
         records = np.unique(np.maximum.accumulate(ts))
         n = len(records)
         # Each record's next anchor, then pointer doubling to the last one.
@@ -72,19 +78,17 @@ class StepTable:
             hops[:n][live] += hops[target]
             stop[:n][live] = stop[target]
             ahead[:n][live] = ahead[target]
-        reachable = slice(
-            np.searchsorted(records, floor, side="right"),
-            np.searchsorted(records, floor + width, side="left") + 1,
-        )
-        return cls(records[reachable], records[stop[:n]][reachable], hops[:n][reachable]).compact()
-
-    def compact(self) -> StepTable:
-        """Drop entries whose successor leads to the same result."""
-        if len(self.due) < 2:
-            return self
-        differs = (self.out[1:] != self.out[:-1]) | (self.opened[1:] != self.opened[:-1])
-        keep = np.append(differs, True)
-        return StepTable(self.due[keep], self.out[keep], self.opened[keep])
+        after = np.searchsorted(records, floor, side="right")
+        return cls(records[after:], records[stop[:n]][after:], hops[:n][after:], floor).pruned(width)
+
+    def pruned(self, width: int) -> StepTable:
+        """Without entries that no open window asks for, or that lead where their successor does."""
+        kept = slice(0, int(np.searchsorted(self.due, self.floor + width)) + 1)
+        due, out, opened = self.due[kept], self.out[kept], self.opened[kept]
+        if len(due) > 1:
+            keep = np.append((out[1:] != out[:-1]) | (opened[1:] != opened[:-1]), True)
+            due, out, opened = due[keep], out[keep], opened[keep]
+        return StepTable(due, out, opened, self.floor)
 
     def apply(self, start: int, index: int, width: int) -> tuple[int, int]:
         k = int(np.searchsorted(self.due, start + width))
@@ -106,4 +110,5 @@ class StepTable:
             np.concatenate([self.due, later.due[rest]]),
             np.concatenate([out, later.out[rest]]),
             np.concatenate([opened, later.opened[rest]]),
-        ).compact()
+            self.floor,
+        ).pruned(width)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -13,13 +12,15 @@ from pyspark.sql import functions as F
 
 from tickscope import schemas as S
 from tickscope.functions.anchors import NEVER, StepTable, anchor_positions, log_returns
-from tickscope.operators.hotkeys import ROWS_PER_CHUNK, chunk_hot_keys
+from tickscope.operators.hotkeys import ROWS_PER_CHUNK, bucket_of, chunk_hot_keys, with_buckets
 from tickscope.session import written
 
 CHUNKS_PER_GROUP = 512
+ROWS_PER_BUCKET = 1 << 17
 
 ASSIGNED = "symbol STRING, window_index BIGINT, start_us BIGINT, end_us BIGINT, size DOUBLE, log_return DOUBLE"
-STEPS = "due ARRAY<BIGINT>, out ARRAY<BIGINT>, opened ARRAY<BIGINT>"
+STEPS = "symbol STRING, place BIGINT, floor_us BIGINT, due BINARY, out BINARY, opened BINARY"
+ENTRIES = "symbol STRING, place BIGINT, open_us BIGINT, open_index BIGINT"
 
 
 def log_return(price, previous):
@@ -48,16 +49,20 @@ def assign_windows(
         "symbol", "arrival", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
         F.col("price").cast("double").alias("price"), F.col("size").cast("double").alias("size"),
     )
-    chunked = chunk_hot_keys(ticks, "symbol", "arrival", rows_per_chunk)
+    buckets = chunk_hot_keys(
+        ticks, "symbol", "arrival", rows_per_chunk,
+        top=F.max("ts_us"), last_price=F.max_by("price", "arrival"),
+    )
     columns = ["symbol", "ts_us", "price", "size"]
-    if chunked is None:
+    if buckets is None:
         keys, ready = ["symbol"], ticks
     else:
         keys = ["symbol", "chunk"]
         columns += ["chunk", "open_us", "open_index", "carried"]
-        ready = chunked.withColumn("chunk", F.coalesce("chunk", F.lit(0))).join(
-            _chunk_entries(chunked, width), keys, "left"
-        )
+        entries = _chunk_entries(ticks, buckets, width, rows_per_chunk)
+        found = ("chunk", "open_us", "open_index", "carried")
+        ready = with_buckets(ticks, entries, "symbol", "arrival", rows_per_chunk, *found)
+        ready = ready.withColumn("chunk", F.coalesce("chunk", F.lit(0)))
     ordered = ready.repartition(*keys).sortWithinPartitions(*keys, "arrival")
     return ordered.select(*columns).mapInArrow(_assigner(width), ASSIGNED)
 
@@ -162,98 +167,175 @@ def _with_markers(batch, number, start, ts, returns, closing) -> pa.RecordBatch:
     )
 
 
-def _chunk_entries(chunked: DataFrame, width: int) -> DataFrame:
-    """Open window, window number and last price at the start of every chunk.
+def _chunk_entries(ticks: DataFrame, buckets: DataFrame, width: int, rows_per_chunk: int) -> DataFrame:
+    """The buckets with the open window, window number and last price at the start of their chunk.
 
-    Each chunk is turned into a step table on its own. Tables are combined per
-    group of chunks, a symbol's groups are walked, then each group's chunks: no
-    task sees more than a few hundred tables of one symbol.
+    Each chunk is turned into a step table on its own, and a parallel prefix scan runs
+    over the tables: neighbours are combined in groups, the groups' tables in groups
+    again, until one walk covers a symbol; then every level gives its groups' entries
+    to the level below. Tables stream by, so a task holds two of them, and each keeps
+    only the entries that can be asked for.
     """
-    hot = chunked.where(F.col("chunk").isNotNull())
-    keys = ["symbol", "chunk"]
     so_far = Window.partitionBy("symbol").orderBy("chunk")
     earlier = so_far.rowsBetween(Window.unboundedPreceding, -1)
-    heads = written(
-        hot.groupBy(*keys)
-        .agg(F.max("ts_us").alias("top"), F.max_by("price", "arrival").alias("last_price"))
+    heads = (
+        buckets.groupBy("symbol", "chunk")
+        .agg(F.max("top").alias("top"), F.max_by("last_price", "bucket").alias("last_price"))
         .select(
-            *keys,
+            "symbol", "chunk",
             F.coalesce(F.max("top").over(earlier), F.lit(NEVER)).alias("floor_us"),
             F.lag("last_price").over(so_far).alias("carried"),
         )
     )
-
-    def steps_of_chunk(key, pdf):
-        ts = pdf.sort_values("arrival")["ts_us"].to_numpy()
-        table = StepTable.of_trades(ts, width, int(pdf["floor_us"].iloc[0]))
-        return _table_rows([key], [table], ["symbol", "chunk"])
-
-    group = F.floor(F.col("chunk") / CHUNKS_PER_GROUP).alias("block")
-    tables = written(
-        hot.select(*keys, "arrival", "ts_us")
-        .join(heads.select(*keys, "floor_us"), keys)
-        .groupBy(*keys)
-        .applyInPandas(steps_of_chunk, f"symbol STRING, chunk BIGINT, {STEPS}")
-        .select("*", group)
-    )
-
-    def combine(key, pdf):
-        ordered = _tables(pdf, "chunk")
-        whole = ordered[0]
-        for table in ordered[1:]:
-            whole = whole.then(table, width)
-        return _table_rows([key], [whole], ["symbol", "block"])
-
-    def walk(level: str, schema_keys: list[str]):
-        def run(key, pdf):
-            pdf = pdf.sort_values(level)
-            start, index = NEVER, -1
-            if "open_us" in pdf.columns:
-                start, index = int(pdf["open_us"].iloc[0]), int(pdf["open_index"].iloc[0])
-            rows = []
-            for number, table in zip(pdf[level].tolist(), _tables(pdf, level)):
-                rows.append((key[0], number, start, index))
-                start, index = table.apply(start, index, width)
-            return pd.DataFrame(rows, columns=[*schema_keys, "open_us", "open_index"])
-
-        return run
-
-    blocks = (
-        tables.groupBy("symbol", "block")
-        .applyInPandas(combine, f"symbol STRING, block BIGINT, {STEPS}")
-        .groupBy("symbol")
-        .applyInPandas(
-            walk("block", ["symbol", "block"]),
-            "symbol STRING, block BIGINT, open_us BIGINT, open_index BIGINT",
-        )
+    facts = written(buckets.select("symbol", "bucket", "chunk").join(heads, ["symbol", "chunk"]))
+    hot = with_buckets(ticks, facts, "symbol", "arrival", rows_per_chunk, "chunk", "floor_us").where(
+        F.col("chunk").isNotNull()
     )
-    entries = (
-        tables.join(blocks, ["symbol", "block"])
-        .groupBy("symbol", "block")
-        .applyInPandas(
-            walk("chunk", keys), "symbol STRING, chunk BIGINT, open_us BIGINT, open_index BIGINT"
-        )
+    ordered = hot.repartition("symbol", "chunk").sortWithinPartitions("symbol", "chunk", "arrival")
+    tables = ordered.select("symbol", F.col("chunk").alias("place"), "floor_us", "ts_us").mapInArrow(
+        _stepper(width), STEPS
     )
+    most = buckets.agg(F.max("chunk")).first()[0]
+    entries = _entries(tables, width, most + 1)
     nothing = F.lit(None).cast("bigint")
     fresh = F.col("open_index") < 0
-    return written(
-        entries.join(heads.select(*keys, "carried"), keys)
-        .select(
-            *keys,
-            F.when(fresh, nothing).otherwise(F.col("open_us")).alias("open_us"),
-            F.when(fresh, nothing).otherwise(F.col("open_index")).alias("open_index"),
-            "carried",
-        )
+    return facts.join(entries.withColumnRenamed("place", "chunk"), ["symbol", "chunk"]).select(
+        "symbol", "bucket", "chunk", "carried",
+        F.when(fresh, nothing).otherwise(F.col("open_us")).alias("open_us"),
+        F.when(fresh, nothing).otherwise(F.col("open_index")).alias("open_index"),
     )
 
 
-def _tables(pdf: pd.DataFrame, level: str) -> list[StepTable]:
-    ordered = pdf.sort_values(level)
-    return [StepTable(*row) for row in zip(ordered["due"], ordered["out"], ordered["opened"])]
+def _entries(tables: DataFrame, width: int, places: int) -> DataFrame:
+    """symbol, place, open_us, open_index: the state before every stretch; ``places`` bounds their numbers."""
+    start = tables.withColumns({"open_us": F.lit(NEVER), "open_index": F.lit(-1).cast("bigint")})
+    if places <= CHUNKS_PER_GROUP:
+        return written(_in_order(start, "symbol").mapInArrow(_walker(width), ENTRIES))
+    tables = written(tables)
+    group = F.floor(F.col("place") / CHUNKS_PER_GROUP).alias("group")
+    whole = _in_order(tables.select("*", group), "symbol", "group").mapInArrow(_combiner(width), STEPS)
+    above = _entries(whole, width, -(-places // CHUNKS_PER_GROUP)).withColumnRenamed("place", "group")
+    below = tables.select("*", group).join(above, ["symbol", "group"])
+    return written(_in_order(below, "symbol", "group").mapInArrow(_walker(width), ENTRIES))
+
+
+def _in_order(tables: DataFrame, *keys: str) -> DataFrame:
+    """Few rows, each a table: one partition for each group, in order of place."""
+    if "group" not in tables.columns:
+        tables = tables.withColumn("group", F.lit(0).cast("bigint"))
+    return tables.repartition(*keys).sortWithinPartitions("symbol", "group", "place")
+
+
+def _stepper(width: int):
+    """Arrow mapper from trades in order of symbol, chunk and arrival to a step table for each chunk.
+
+    Of a chunk it holds the times that were the latest so far, all that a table needs.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, records = None, []
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            symbol, place, floor = (batch.column(c) for c in ("symbol", "place", "floor_us"))
+            ts = batch.column("ts_us").to_numpy(zero_copy_only=False)
+            differs = pc.or_(pc.not_equal(symbol[1:], symbol[:-1]), pc.not_equal(place[1:], place[:-1]))
+            edges = [0, *(np.flatnonzero(differs.to_numpy(zero_copy_only=False)) + 1).tolist(), len(ts)]
+            done = []
+            for a, b in zip(edges[:-1], edges[1:]):
+                this = (symbol[a].as_py(), place[a].as_py(), floor[a].as_py())
+                if this != key:
+                    if key is not None:
+                        done.append((key, records))
+                    key, records = this, []
+                records.append(np.unique(np.maximum.accumulate(ts[a:b])))
+            if done:
+                yield _table_rows([(k, _table_of(k, r, width)) for k, r in done])
+        if key is not None:
+            yield _table_rows([(key, _table_of(key, records, width))])
+
+    return run
+
+
+def _table_of(key: tuple, records: list[np.ndarray], width: int) -> StepTable:
+    return StepTable.of_trades(np.concatenate(records), width, key[2])
+
+
+def _table_rows(tables: list[tuple[tuple, StepTable]]) -> pa.RecordBatch:
+    columns = [
+        pa.array([key[0] for key, _ in tables], pa.string()),
+        pa.array([key[1] for key, _ in tables], pa.int64()),
+        pa.array([table.floor for _, table in tables], pa.int64()),
+        *(pa.array([getattr(table, f).tobytes() for _, table in tables], pa.binary()) for f in ("due", "out", "opened")),
+    ]
+    return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in STEPS.split(", ")])
+
+
+def _read_tables(batch: pa.RecordBatch) -> Iterator[tuple[dict, StepTable]]:
+    for i in range(batch.num_rows):
+        row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
+        parts = (np.frombuffer(row.pop(f), np.int64) for f in ("due", "out", "opened"))
+        yield row, StepTable(*parts, row["floor_us"])
+
 
+def _combiner(width: int):
+    """Arrow mapper that folds the tables of a group, which come in order, into one."""
 
-def _table_rows(keys, tables, names) -> pd.DataFrame:
-    frame = pd.DataFrame([tuple(key) for key in keys], columns=names)
-    for field in ("due", "out", "opened"):
-        frame[field] = [getattr(table, field) for table in tables]
-    return frame
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, whole = None, None
+        for batch in batches:
+            for row, table in _read_tables(batch):
+                this = (row["symbol"], row["group"])
+                if this == key:
+                    whole = whole.then(table, width)
+                    continue
+                if key is not None:
+                    yield _table_rows([(key, whole)])
+                key, whole = this, table
+        if key is not None:
+            yield _table_rows([(key, whole)])
+
+    return run
+
+
+def _walker(width: int):
+    """Arrow mapper that leads a state through the tables of a group; each row has the group's first state."""
+    names = [c.split()[0] for c in ENTRIES.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, None
+        for batch in batches:
+            out = []
+            for row, table in _read_tables(batch):
+                this = (row["symbol"], row["group"])
+                if this != key:
+                    key, state = this, (row["open_us"], row["open_index"])
+                out.append((row["symbol"], row["place"], *state))
+                state = table.apply(*state, width)
+            columns = list(zip(*out)) if out else [[]] * len(names)
+            types = [pa.string(), *[pa.int64()] * 3]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names)
+
+    return run
+
+
+def log_returns_of(trades: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """``trades`` with the price of the symbol's previous trade and the log return from it.
+
+    ``arrival`` gives the order, as for windows. A symbol is cut into buckets of at
+    most ``rows_per_bucket`` orders (a power of two); each bucket is ordered by itself
+    and one boundary row for each carries the last price over to the next. So the
+    trades of a symbol spread over tasks, and only boundaries are looked at together.
+    """
+    bits = rows_per_bucket.bit_length() - 1
+    cut = trades.withColumn("_bucket", bucket_of("arrival", bits))
+    keys = ["symbol", "_bucket"]
+    last = cut.groupBy(*keys).agg(F.max_by("price", "arrival").alias("_last"))
+    boundary = last.select(*keys, F.lag("_last").over(Window.partitionBy("symbol").orderBy("_bucket")).alias("_carried"))
+    within = Window.partitionBy(*keys).orderBy("arrival")
+    known = cut.withColumns({"_lag": F.lag("price").over(within), "_place": F.row_number().over(within)})
+    previous = F.when(F.col("_place") == 1, F.col("_carried")).otherwise(F.col("_lag"))
+    joined = known.join(boundary, keys).withColumn("previous_price", previous)
+    return joined.withColumn("log_return", log_return(F.col("price"), F.col("previous_price"))).select(
+        *trades.columns, "previous_price", "log_return"
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickscope.session import written
@@ -10,33 +10,46 @@ from tickscope.session import written
 ROWS_PER_CHUNK = 1 << 21
 
 
+def bucket_bits(rows_per_chunk: int) -> int:
+    """Buckets of ``2 ** bits`` orders hold a sixteenth of a chunk at most."""
+    return max(0, rows_per_chunk.bit_length() - 5)
+
+
+def bucket_of(order: str, bits: int) -> Column:
+    return F.shiftright(F.col(order).cast("bigint"), bits)
+
+
 def chunk_hot_keys(
-    rows: DataFrame, key: str, order: str, rows_per_chunk: int = ROWS_PER_CHUNK
+    rows: DataFrame, key: str, order: str, rows_per_chunk: int = ROWS_PER_CHUNK, **facts: Column
 ) -> DataFrame | None:
-    """Chunk numbers, ascending in ``order``, for keys above ``rows_per_chunk``.
-
-    ``order`` is an integer unique within a key. It is cut into equal buckets,
-    rows are counted per bucket (combined map-side), and running counts give the
-    chunk borders: a chunk holds at most ``rows_per_chunk`` rows plus one bucket.
-    Adds a ``chunk`` column, null for keys left whole. Returns None when no key
-    is hot, so that ordinary data takes a plan with no extra join. Only the
-    counting job and, for hot keys, two small tables run here; the result is lazy.
+    """Buckets of the keys above ``rows_per_chunk``: key, bucket, chunk and ``facts`` of each.
+
+    ``order`` is an integer unique within a key. It is cut into equal buckets
+    (`bucket_of`); one aggregation, combined map-side, counts rows and works out
+    ``facts`` (aggregates) for each, and running counts give ascending chunk numbers:
+    a chunk holds at most ``rows_per_chunk`` rows plus one bucket. The table is a
+    stored one with a row for each bucket, and facts of chunks follow from those of
+    buckets without another look at the rows. Returns None when no key is hot, so
+    that ordinary data takes a plan with no extra join.
     """
     sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("total"))
-    hot = sizes.where(F.col("total") > rows_per_chunk)
+    hot = written(sizes.where(F.col("total") > rows_per_chunk).select(key))
     if hot.isEmpty():
         return None
 
-    bits = max(0, rows_per_chunk.bit_length() - 5)
-    bucket = F.shiftright(F.col(order).cast("bigint"), bits)
+    bits = bucket_bits(rows_per_chunk)
     counts = (
-        rows.join(written(hot.select(key)), key, "left_semi")
-        .groupBy(key, bucket.alias("bucket"))
-        .agg(F.count(F.lit(1)).alias("n"))
+        rows.join(hot, key, "left_semi")
+        .groupBy(key, bucket_of(order, bits).alias("bucket"))
+        .agg(F.count(F.lit(1)).alias("n"), *[fact.alias(name) for name, fact in facts.items()])
     )
     before = Window.partitionBy(key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     rows_before = F.coalesce(F.sum("n").over(before), F.lit(0))
-    borders = written(
-        counts.withColumn("chunk", F.floor(rows_before / rows_per_chunk)).select(key, "bucket", "chunk")
-    )
-    return rows.withColumn("bucket", bucket).join(borders, [key, "bucket"], "left").drop("bucket")
+    return written(counts.withColumn("chunk", F.floor(rows_before / rows_per_chunk)).drop("n"))
+
+
+def with_buckets(rows: DataFrame, buckets: DataFrame, key: str, order: str, rows_per_chunk: int, *names: str) -> DataFrame:
+    """``rows`` with columns ``names`` of their bucket, null for keys left whole."""
+    on = [key, "bucket"]
+    marked = rows.withColumn("bucket", bucket_of(order, bucket_bits(rows_per_chunk)))
+    return marked.join(buckets.select(*on, *names), on, "left").drop("bucket")

@@ -112,12 +112,9 @@ def _summary_columns():
 
 
 def log_returns(spark, sf):
-    rows = I.trades_by_type(spark, sf)
-    previous = F.lag("price").over(Window.partitionBy("symbol").orderBy("arrival"))
-    return rows.withColumn("previous_price", previous).select(
-        "symbol", "arrival", "previous_price",
-        F.round(anchored.log_return(F.col("price"), F.col("previous_price")), 6).alias("log_return"),
-    )
+    """Buckets of 4,096 orders, so that prices are carried over their borders here too."""
+    rows = anchored.log_returns_of(I.trades_by_type(spark, sf), 4096)
+    return rows.select("symbol", "arrival", "previous_price", _r("log_return"))
 
 
 def anchored_windows(spark, sf):
