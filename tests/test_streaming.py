@@ -1,20 +1,24 @@
 from __future__ import annotations
 
+import datetime as dt
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tests.plain import random_trades
 from tickscope import schemas as S
 from tickscope.functions.series import DetectorParams
-from tickscope.operators import anchored, events
+from tickscope.operators import anchored, delivery, events
 from tickscope.sources.anomaly_table import AnomalyTable
-from tickscope.sources.messages import read_messages, start_writing, stream_messages
+from tickscope.sources.batch_table import BatchTable
+from tickscope.sources.messages import next_offsets, read_messages, start_writing, stream_messages, write_messages
 from tickscope.streaming import jobs
-from tickscope.streaming.detector import detect, freshness_from_state, model_state
-from tickscope.streaming.progress import lag_samples
+from tickscope.streaming.detector import TRADE, WAITING_NAME, detect, freshness_from_state, model_state
+from tickscope.streaming.ordered import OrderedRows
+from tickscope.streaming.progress import ProgressLog, backlog_samples, lag_samples
 
 PARAMS = DetectorParams(window_seconds=4.0, z_threshold=1.5, warmup=10, lookback=12)
 
@@ -34,12 +38,12 @@ def scored_rows(frame):
     return sorted(tuple(r) for r in picked.collect())
 
 
-def run_stream(spark, source, out, checkpoint):
+def run_stream(spark, source, out, checkpoint, **options):
     raw = spark.readStream.option("maxFilesPerTrigger", 1).schema(
         "symbol STRING, arrival BIGINT, us BIGINT, price DOUBLE, size DOUBLE, ts TIMESTAMP"
     ).parquet(source)
     query = (
-        detect(raw, PARAMS).writeStream.format("parquet").option("path", out)
+        detect(raw, PARAMS, **options).writeStream.format("parquet").option("path", out)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination(300)
@@ -71,6 +75,119 @@ def test_any_split_and_a_restart_give_the_batch_answer(spark, tmp_path):
     assert fresh == {s: max(r[3] for r in batch if r[0] == s) for s in "ABC"}
 
 
+def test_rows_come_back_in_order_from_a_bounded_memory(tmp_path):
+    import os
+    import tracemalloc
+
+    class Files:
+        largest = 0
+
+        def put(self, name, data):
+            (tmp_path / name.replace("/", "_")).write_bytes(data)
+
+        def take(self, name):
+            path = tmp_path / name.replace("/", "_")
+            data = path.read_bytes()
+            os.unlink(path)
+            return data
+
+    def rows(values):
+        out = np.zeros(len(values), TRADE)
+        out["arrival"], out["size"] = values, np.asarray(values) * 2.0
+        return out
+
+    rng = np.random.default_rng(1)
+    cases = {
+        "spread": rng.permutation(1_000_000) * 977 - 5000, "one value": np.full(5000, 7), "few": np.arange(10)[::-1],
+        "dense then far": np.concatenate([rng.permutation(20_000), 10 ** 12 + rng.permutation(20_000)]), "none": np.zeros(0, int),
+    }
+    for values in cases.values():
+        ordered, want = OrderedRows(Files(), "arrival", limit=2000), np.sort(values)
+        tracemalloc.start()
+        for at in range(0, len(values), 700):
+            ordered.add(rows(values[at:at + 700]))
+        at = 0
+        for part in ordered.in_order():
+            assert len(part) <= 2000
+            assert (part["arrival"] == want[at:at + len(part)]).all() and (part["size"] == part["arrival"] * 2.0).all()
+            at += len(part)
+        assert at == len(values) and not list(tmp_path.iterdir())
+        assert tracemalloc.get_traced_memory()[1] < 16 << 20  # the rows alone are 32 MB
+        tracemalloc.stop()
+
+
+def test_a_symbol_beyond_the_memory_of_a_batch_and_a_run_from_saved_state(spark, tmp_path):
+    rows = random_trades(12, 1400)
+    windows = anchored.window_summaries(trade_frame(spark, rows), PARAMS.window_seconds)
+    batch = scored_rows(events.score_windows(windows, PARAMS.z_threshold, PARAMS.lookback, PARAMS.warmup))
+    found, state = [], None
+    for i, part in enumerate((rows[:600], rows[600:])):
+        random.Random(i).shuffle(part)
+        source, out, checkpoint = (str(tmp_path / f"{n}{i}") for n in ("in", "out", "ck"))
+        trade_frame(spark, part).coalesce(1).write.parquet(source)
+        run_stream(spark, source, out, checkpoint, initial=state, rows_in_memory=50)
+        found += scored_rows(spark.read.parquet(out))
+        state = model_state(spark, checkpoint)
+        waiting = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", WAITING_NAME).load()
+        assert waiting.count() == 0
+    assert sorted(found) == batch
+
+
+def test_streamed_audit_equals_the_batch_audit_for_any_split(spark, tmp_path):
+    rng = random.Random(6)
+    shape = "trade_id BIGINT, ticker STRING, processed_at TIMESTAMP"
+    log = [(rng.randrange(40), rng.choice("AB"), dt.datetime(2024, 1, 1, 0, rng.randrange(60))) for _ in range(300)]
+    table = BatchTable(spark, str(tmp_path / "t"), jobs.AUDIT)
+    for part in (log[:90], log[90:100], log[100:]):
+        spark.createDataFrame(part, shape).repartition(2).write.mode("append").parquet(str(tmp_path / "log"))
+        source = spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
+        jobs.start_delivery_audit(source, table, str(tmp_path / "ck"), available_now=True).awaitTermination(300)
+    batch = delivery.delivery_audit(spark.createDataFrame(log, shape))
+    want = sorted(tuple(r) for r in batch.select(*jobs.current_audit(table).columns).collect())
+    assert sorted(tuple(r) for r in jobs.current_audit(table).collect()) == want
+    again = batch.withColumn("attempts", F.lit(99).cast("bigint"))
+    assert not table.deliver(again, "delivery-audit", 0)  # a redelivered batch
+    table.fold(jobs.newest_audit)
+    assert sorted(tuple(r) for r in jobs.current_audit(table).collect()) == want
+
+
+def test_starting_from_offsets_and_files_of_bounded_length(spark, tmp_path):
+    path = str(tmp_path / "topic")
+    rows = raw_frame(spark, [b"{}"] * 100).withColumn("partition", (F.col("offset") % 2).cast("int"))
+    write_messages(rows.coalesce(1), "parquet", path, rows_per_file=16)
+    assert next_offsets(read_messages(spark, "parquet", path)) == {S.TICKS_TOPIC: {0: 99, 1: 100}}
+    raw = stream_messages(spark, "parquet", path, starting={S.TICKS_TOPIC: {1: 90}}, per_trigger=1)
+    sizes, seen = [], []
+
+    def take(batch, number):
+        offsets = [r["offset"] for r in batch.collect()]
+        sizes.append(len(offsets))
+        seen.extend(offsets)
+
+    query = raw.writeStream.foreachBatch(take).option("checkpointLocation", str(tmp_path / "ck"))
+    query.trigger(availableNow=True).start().awaitTermination(120)
+    assert sorted(seen) == sorted([n for n in range(0, 100, 2)] + [n for n in range(91, 100, 2)])
+    assert len(sizes) == 7 and max(sizes) <= 16
+
+
+def test_progress_reports_are_kept_as_a_table(spark, spiky, tmp_path):
+    reports = ProgressLog(spark, str(tmp_path / "reports"), at_once=1)
+    spark.streams.addListener(reports)
+    try:
+        raw = stream_messages(spark, "parquet", spiky, per_trigger=1)
+        writer = raw.writeStream.queryName("watched").format("noop").option("checkpointLocation", str(tmp_path / "ck"))
+        query = writer.trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        reports.wait(query)
+    finally:
+        spark.streams.removeListener(reports)
+    burst = spark.createDataFrame([("watched", 183, 0.5)], "run STRING, burst_size BIGINT, produce_seconds DOUBLE")
+    samples = backlog_samples(reports.reports(), burst)
+    assert [r["lag"] for r in samples.orderBy("elapsed").collect()][:2] == [92, 0]
+    summary = delivery.drain_summary(samples, settle_seconds=0.0).first()
+    assert summary["peak_lag"] == 92 and summary["recovery_seconds"] > 0 and summary["produce_rate"] == 366
+
+
 def tick(symbol, seconds, price, size, number, **changes):
     body = {
         "type": "trade", "symbol": symbol, "price": price, "size": size, "exchange": "V",
@@ -208,8 +325,7 @@ def test_live_view_keeps_the_newest_json(spark, spiky, tmp_path):
 
 def test_starting_latest_skips_what_is_there(spark, spiky, tmp_path):
     raw = stream_messages(spark, "parquet", spiky, starting="latest")
-    raw_frame(spark, [b"{}"], 900).withColumn("timestamp", F.expr("now() + INTERVAL 1 HOUR")).write.mode(
-        "append").parquet(spiky)
+    raw_frame(spark, [b"{}"], 900).write.mode("append").parquet(spiky)
     seen = []
     jobs.start_live_view(
         raw, lambda feed: seen.extend(bytes(r["value"]) for r in feed.collect()), str(tmp_path / "ck"),

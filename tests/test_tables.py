@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tickscope import schemas as S
 from tickscope.operators import crossref, delivery, factors, offsets, universe, upsert, views
 from tickscope.sources.anomaly_table import AnomalyTable
+from tickscope.sources.batch_table import BatchTable
 
 ROW = "ticker STRING, window_start TIMESTAMP, anomaly_type STRING, details STRING, detected_at TIMESTAMP, arrival BIGINT"
 
@@ -53,7 +54,7 @@ def test_merge_keeps_first_detection_and_newest_details(spark):
 
 def test_table_deliveries_retries_and_compaction(spark, tmp_path):
     table = AnomalyTable(spark, str(tmp_path / "anomalies"))
-    assert table.read().count() == 0 and table.compact() is None
+    assert table.read().count() == 0 and table.compact() == 0
     clock = lambda m: F.lit(at(m))
     assert table.upsert(deliveries(spark, TWO), "w", 0, clock(30))
     assert not table.upsert(deliveries(spark, NEWER), "w", 0, clock(31))  # batch 0 again: ignored
@@ -66,11 +67,37 @@ def test_table_deliveries_retries_and_compaction(spark, tmp_path):
     assert content(table.read()) == [
         ("A", S.REGIME_CHANGE, "r1", at(11)), ("A", S.VOLUME_ANOMALY, "v1", at(10)), MERGED[2]]
     assert table.compact() != base
-    assert table.deliveries().count() == 3
+    assert table.batches.deliveries().count() == 3
     with pytest.raises(Exception, match="anomaly_type not allowed"):
         table.upsert(deliveries(spark, [("A", at(0), "other", "x", at(1), 1)]), "w", 9)
 
 
+def test_folded_batches_are_neither_read_nor_listed(spark, tmp_path):
+    table = BatchTable(spark, str(tmp_path / "t"), "k BIGINT, v BIGINT")
+    rows = spark.range(3).selectExpr("id AS k", "id * 10 AS v").coalesce(1)
+
+    def newest(frame):
+        return frame.groupBy("k").agg(F.max_by(F.struct("v", "writer", "batch"), "batch").alias("x")).select("k", "x.*")
+
+    files = []
+    for batch in range(12):
+        assert table.deliver(rows.withColumn("v", F.col("v") + batch), "w", batch)
+        assert not table.deliver(rows, "w", batch)
+        if batch % 3 == 2:
+            table.fold(newest)
+            files.append(len(table.deliveries().inputFiles()))
+            assert not table.deliver(rows, "w", batch - 2)  # folded: still known
+    assert files[-1] == files[1] <= 8
+    assert {tuple(r)[:2] for r in newest(table.deliveries()).collect()} == {(k, 10 * k + 11) for k in range(3)}
+    # A writer that began before a fold and ends after it is not lost.
+    late = BatchTable(spark, table.path, table.schema)
+    late._generation = lambda: (table._generation()[0] - 1, {})
+    assert late.deliver(rows.withColumn("k", F.col("k") + 100), "slow", 0)
+    assert table.deliveries().where("k >= 100").count() == 3
+    table.fold(newest)
+    assert table.deliveries().where("k >= 100").count() == 3
+
+
 def test_lists(spark):
     rows = [("T%02d" % (i % 7), at(i % 60), S.ANOMALY_TYPES[i % 2], "{}", at(i % 60), i) for i in range(80)]
     frame = deliveries(spark, rows)
@@ -114,11 +141,15 @@ def test_lag_and_sizes(spark):
     assert sizes == {"q": 5, "missing": 0}
 
     fresh = spark.createDataFrame([("A", at(1)), ("B", None)], "symbol STRING, last_updated TIMESTAMP")
-    one = views.status_report(offsets.consumer_lag(water, done, subs), offsets.topic_sizes(water, asked),
-                              fresh, "g", "absent").collect()
-    assert len(one) == 1 and one[0]["consumer_lag"].asDict() == {"streaming": 10, "storage_sink": 0}
-    assert one[0]["dlq_depth"] == 5
-    assert one[0]["model_freshness"] == {"A": "2024-01-02T15:01:00+00:00", "B": None}
+    report = views.status_report(offsets.consumer_lag(water, done, subs), offsets.topic_sizes(water, asked),
+                                 fresh, "g", "absent")
+    rows = {tuple(r)[:2]: tuple(r)[2:] for r in report.collect()}
+    assert rows.pop(("checked_at", "status"))[1].endswith("+00:00")
+    assert rows == {
+        ("consumer_lag", "streaming"): (10, None), ("consumer_lag", "storage_sink"): (0, None),
+        ("dlq_depth", "dead_letters"): (5, None),
+        ("model_freshness", "A"): (None, "2024-01-02T15:01:00+00:00"), ("model_freshness", "B"): (None, None)}
+    assert "NestedLoop" not in report._jdf.queryExecution().executedPlan().toString()
 
 
 def day(n):

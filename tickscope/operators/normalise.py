@@ -23,6 +23,32 @@ def to_utc(column, zone: str | None = None):
     return F.to_utc_timestamp(column, zone) if zone else column.cast("timestamp")
 
 
+def provider_ticks(records: DataFrame, zone: str | None = None) -> DataFrame:
+    """Provider records as tick rows that `tick_messages` sends.
+
+    ``records`` holds both kinds under the provider's own names: ``kind`` (trade or
+    quote), ``symbol``, ``at`` (a local clock time in ``zone``, or an instant),
+    ``price``, ``size``, ``venue``, ``id``, ``bid``, ``bid_size``, ``bid_venue``, ``ask``,
+    ``ask_size``, ``ask_venue``, ``flags`` and ``tape``. Columns that a kind does not have
+    are null in its rows; other kinds are none of this feed's and are left out.
+    """
+    trade, quote = F.col("kind") == "trade", F.col("kind") == "quote"
+
+    def of(kind, name, cast):
+        return F.when(kind, F.col(name).cast(cast))
+
+    return records.where(trade | quote).select(
+        F.col("kind").alias("type"), "symbol", to_utc(F.col("at"), zone).alias("ts"),
+        of(trade, "price", "double").alias("price"), of(trade, "size", "double").alias("size"),
+        of(trade, "venue", "string").alias("exchange"), of(trade, "id", "bigint").alias("trade_id"),
+        of(quote, "bid", "double").alias("bid_price"), of(quote, "bid_size", "double").alias("bid_size"),
+        of(quote, "bid_venue", "string").alias("bid_exchange"), of(quote, "ask", "double").alias("ask_price"),
+        of(quote, "ask_size", "double").alias("ask_size"), of(quote, "ask_venue", "string").alias("ask_exchange"),
+        F.col("flags").cast("array<string>").alias("conditions"), F.col("tape").cast("string").alias("tape"),
+        *[c for c in ("arrival",) if c in records.columns],
+    )
+
+
 def tick_messages(ticks: DataFrame, topic: str = S.TICKS_TOPIC, raw: str | None = None) -> DataFrame:
     """Tick rows (``ts`` + typed columns) as ``topic, key, value``.
 

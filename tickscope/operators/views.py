@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tickscope import schemas as S
 from tickscope.functions import text as X
-from tickscope.operators.delivery import side_by_side
 
 
 def newest_anomalies(
@@ -46,9 +45,16 @@ def latest_messages(messages: DataFrame, length: int = S.FEED_LENGTH) -> DataFra
     return readable.orderBy(F.desc("arrival")).limit(length)
 
 
-def waiting_messages(messages: DataFrame, seen: Column) -> DataFrame:
-    """All messages that came after the last one a viewer has seen (all, if none was)."""
-    return messages.where(seen.isNull() | (F.col("arrival") > seen))
+def waiting_messages(messages: DataFrame, marks: DataFrame, by: str = "viewer") -> DataFrame:
+    """Each viewer's messages after the last one it has seen (all of them, if it has seen none).
+
+    ``messages`` and ``marks`` share the column ``by``: who a message is for, and what a
+    viewer follows. ``marks`` has one row per viewer and its ``seen`` arrival, which may be
+    null; viewers without a row get nothing. There is no cap: a backlog is as long as it is.
+    """
+    seen = marks.select(by, "seen")
+    late = F.col("seen").isNull() | (F.col("arrival") > F.col("seen"))
+    return messages.join(seen, by).where(late).drop("seen")
 
 
 def latest_per_symbol(ticks: DataFrame) -> DataFrame:
@@ -100,22 +106,34 @@ def status_report(
     sink_group: str,
     checked_at: Column | None = None,
 ) -> DataFrame:
-    """One row: lag of both groups, dead-letter depth, freshness map, time of check.
+    """The report as rows: section, name, number, at.
 
-    The map has one entry per tracked symbol. Use :func:`model_freshness` itself
-    when symbols are too many for one row.
+    consumer_lag has a row for each of the two groups and dlq_depth one, with a
+    ``number``; model_freshness has a row per tracked symbol and checked_at one, with
+    an ISO time ``at``. However many symbols there are, no row grows and nothing is joined.
     """
-    at = checked_at if checked_at is not None else F.current_timestamp()
+    checked = checked_at if checked_at is not None else F.current_timestamp()
+    none, no_time = F.lit(None).cast("bigint"), F.lit(None).cast("string")
 
     def lag_of(group: str) -> Column:
         return F.coalesce(F.max(F.when(F.col("group_id") == group, F.col("lag"))), F.lit(0))
 
-    lags = lag.agg(F.struct(
-        lag_of(streaming_group).alias("streaming"), lag_of(sink_group).alias("storage_sink")
-    ).alias("consumer_lag"))
-    depth = dlq_depth.agg(F.coalesce(F.sum("messages"), F.lit(0)).alias("dlq_depth"))
-    entry = F.struct("symbol", X.iso_text(F.col("last_updated")).alias("at"))
-    fresh = freshness.agg(
-        F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("model_freshness")
+    def figure(section: str, name: str, number: Column) -> Column:
+        return F.struct(F.lit(section).alias("section"), F.lit(name).alias("name"), number.alias("number"), no_time.alias("at"))
+
+    lags = lag.agg(F.array(
+        figure("consumer_lag", "streaming", lag_of(streaming_group)),
+        figure("consumer_lag", "storage_sink", lag_of(sink_group)),
+    ).alias("rows"))
+    depth = F.coalesce(F.sum("messages"), F.lit(0)).cast("bigint")
+    dead = dlq_depth.agg(F.array(figure("dlq_depth", "dead_letters", depth)).alias("rows"))
+    figures = lags.unionByName(dead).select(F.inline("rows"))
+    fresh = freshness.select(
+        F.lit("model_freshness").alias("section"), F.col("symbol").alias("name"), none.alias("number"),
+        X.iso_text(F.col("last_updated")).alias("at"),
+    )
+    now = lag.sparkSession.range(1).select(
+        F.lit("checked_at").alias("section"), F.lit("status").alias("name"), none.alias("number"),
+        X.iso_text(checked).alias("at"),
     )
-    return side_by_side(lags, depth, fresh).withColumn("checked_at", X.iso_text(at))
+    return figures.unionByName(fresh).unionByName(now)

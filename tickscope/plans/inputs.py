@@ -97,6 +97,24 @@ def raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages(spread(table(spark, sf_dir, "events")))
 
 
+PROVIDER_ZONE = "Asia/Tokyo"
+
+
+def provider_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a provider's records: local clock times, short names, both kinds and some bars."""
+    size = F.get_json_object("props", "$.k").cast("double")
+    kind = F.when(F.col("event_type").isin("purchase", "click"), "trade").when(
+        F.col("event_type").isin("view", "signup"), "quote").otherwise("bar")
+    return table(spark, sf_dir, "events").select(
+        kind.alias("kind"), F.col("user_id").cast("string").alias("symbol"), F.col("ts").alias("at"),
+        F.col("value").alias("price"), size.alias("size"), F.lit("V").alias("venue"),
+        F.col("event_id").alias("id"), F.col("value").alias("bid"), size.alias("bid_size"),
+        F.lit("V").alias("bid_venue"), (F.col("value") + 0.5).alias("ask"), size.alias("ask_size"),
+        F.lit("Q").alias("ask_venue"), F.array(F.lit("@"), F.lit("I")).alias("flags"), F.lit("C").alias("tape"),
+        F.col("event_id").alias("arrival"),
+    )
+
+
 def dense_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars per return flag; nearly every day filled."""
     unit = F.col("l_extendedprice") / F.col("l_quantity")

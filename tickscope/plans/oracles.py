@@ -399,8 +399,9 @@ SELECT event_id AS arrival, symbol AS key,
 FROM messages WHERE event_type <> 'error' OR broken > 1
 ORDER BY event_id DESC LIMIT 50""",
     "waiting_messages": f"""WITH {MESSAGES},
-seen AS (SELECT max(event_id) AS last FROM events WHERE event_type = 'purchase')
-SELECT event_id AS arrival, "partition" FROM messages WHERE event_id > (SELECT last FROM seen)""",
+seen AS (SELECT user_id, max(event_id) FILTER (WHERE event_type = 'purchase') AS last FROM events GROUP BY user_id)
+SELECT symbol AS viewer, event_id AS arrival, "partition" FROM messages
+JOIN seen ON symbol = CAST(user_id AS VARCHAR) WHERE last IS NULL OR event_id > last""",
     "model_freshness": LONG + """
 SELECT symbol, epoch_us(max(e)) AS updated_us FROM windows GROUP BY symbol""",
     "consumer_lag": f"WITH {MARKS} SELECT group_id, lag FROM lags",
@@ -409,10 +410,10 @@ SELECT symbol, epoch_us(max(e)) AS updated_us FROM windows GROUP BY symbol""",
 SELECT t.topic, CAST(coalesce(sum(greatest(high - low, 0)), 0) AS BIGINT) AS messages
 FROM (VALUES ('A'), ('N'), ('R'), ('absent')) AS t(topic) LEFT JOIN marks USING (topic) GROUP BY ALL""",
     "status_report": f"""{USERS}, {MARKS}
-SELECT (SELECT lag FROM lags WHERE group_id = 'tick-readers') AS streaming_lag,
-  (SELECT lag FROM lags WHERE group_id = 'anomaly-writers') AS sink_lag,
-  (SELECT CAST(sum(greatest(high - low, 0)) AS BIGINT) FROM marks WHERE topic = 'R') AS dlq_depth,
-  symbol, {_iso('u')} AS updated_at
+SELECT 'consumer_lag' AS section, CASE group_id WHEN 'tick-readers' THEN 'streaming' ELSE 'storage_sink' END AS name,
+  lag AS number, CAST(NULL AS VARCHAR) AS at FROM lags
+UNION ALL SELECT 'dlq_depth', 'dead_letters', CAST(sum(greatest(high - low, 0)) AS BIGINT), NULL FROM marks WHERE topic = 'R'
+UNION ALL SELECT 'model_freshness', symbol, NULL, {_iso('u')}
 FROM (SELECT symbol, max(e) AS u FROM windows GROUP BY symbol)""",
     "factor_scores": f"""WITH {DENSE}, {SCORES}
 SELECT CAST(date AS VARCHAR) AS date, ticker, factor, round(score, 6) AS score FROM scores""",
@@ -461,3 +462,31 @@ FROM samples GROUP BY run""",
 }
 ORACLES["streamed_window_scores"] = ORACLES["volume_scores"]
 ORACLES["streamed_dead_letters"] = ORACLES["dead_letter_envelopes"]
+ORACLES["resumed_window_scores"] = ORACLES["volume_scores"]
+ORACLES["freshness_from_saved_state"] = ORACLES["model_freshness"]
+ORACLES["streamed_delivery_audit"] = ORACLES["delivery_audit"]
+ORACLES["streamed_detection"] = f"""WITH detected AS ({ORACLES["anomaly_events"]})
+SELECT symbol, start_us, anomaly_type, CASE event_order WHEN 0 THEN anomaly_score END AS anomaly_score,
+  CASE event_order WHEN 1 THEN changepoint_probability END AS changepoint_probability FROM detected"""
+ORACLES["streamed_table_sink"] = f"""WITH kept AS ({ORACLES["anomaly_upsert"]})
+SELECT ticker AS symbol, start_us, anomaly_type, anomaly_score, changepoint_probability, volume, realized_volatility
+FROM kept"""
+ORACLES["streamed_replay"] = f"""WITH {MESSAGES}, {BYTES}
+SELECT 'market-ticks' AS topic, symbol AS key, hex(raw) AS value_hex, location,
+       CASE WHEN event_id <= (SELECT max(event_id) // 2 FROM events) THEN 1 ELSE 2 END AS run FROM bad"""
+ORACLES["late_subscriber_feed"] = f"""WITH {MESSAGES}
+SELECT event_id, symbol AS key, CASE WHEN event_type = 'error' AND broken = 3 THEN 'bar'
+         WHEN event_type = 'error' AND broken IN (4, 5) THEN 'trade' ELSE type END AS type
+FROM messages WHERE event_id > (SELECT max(event_id) // 2 FROM events) AND (event_type <> 'error' OR broken >= 2)
+ORDER BY ts DESC, "partition" DESC, event_id DESC LIMIT 50"""
+ORACLES["streamed_drain"] = """
+SELECT count(*) AS burst_size, CAST(count(*) AS DOUBLE) AS produce_rate, TRUE AS peak_below_burst, TRUE AS drained
+FROM events"""
+ORACLES["provider_messages"] = f"""WITH {MESSAGES}
+SELECT event_id, 'market-ticks' AS topic, symbol AS key, type, {_iso("(ts - INTERVAL '9 hours')")} AS timestamp,
+  CASE type WHEN 'trade' THEN value END AS price, CASE type WHEN 'trade' THEN size END AS size,
+  CASE type WHEN 'trade' THEN 'V' END AS exchange, CASE type WHEN 'trade' THEN event_id END AS trade_id,
+  CASE type WHEN 'quote' THEN value END AS bid_price, CASE type WHEN 'quote' THEN value + 0.5 END AS ask_price,
+  CASE type WHEN 'quote' THEN size END AS ask_size, '["@","I"]' AS conditions, 'C' AS tape,
+  CASE type WHEN 'trade' THEN 9 ELSE 11 END AS n_fields
+FROM messages WHERE type IS NOT NULL"""

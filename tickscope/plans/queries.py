@@ -15,8 +15,13 @@ from tickscope.operators import (
     regime, universe, upsert, validate, views, volume,
 )
 from tickscope.plans import inputs as I
-from tickscope.session import apply_runtime_settings, ensure_checkpoint_dir
-from tickscope.streaming.detector import detect
+from tickscope.session import apply_runtime_settings, ensure_checkpoint_dir, written
+from tickscope.sources.anomaly_table import AnomalyTable
+from tickscope.sources.batch_table import BatchTable, stored
+from tickscope.sources.messages import stream_messages, write_messages
+from tickscope.streaming import jobs
+from tickscope.streaming.detector import detect, freshness_from_state, model_state
+from tickscope.streaming.progress import ProgressLog, backlog_samples
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -92,6 +97,23 @@ def tick_messages(spark, sf):
     )
 
 
+def provider_messages(spark, sf):
+    """Provider records with local clock times, normalised and sent."""
+    sent = normalise.tick_messages(normalise.provider_ticks(I.provider_records(spark, sf), I.PROVIDER_ZONE))
+    text = F.col("value").cast("string")
+
+    def field(name, cast="string"):
+        return F.get_json_object(text, f"$.{name}").cast(cast).alias(name)
+
+    return sent.select(
+        F.col("arrival").alias("event_id"), "topic", F.col("key").cast("string").alias("key"),
+        field("type"), field("timestamp"), field("price", "double"), field("size", "double"),
+        field("exchange"), field("trade_id", "bigint"), field("bid_price", "double"),
+        field("ask_price", "double"), field("ask_size", "double"), field("conditions"), field("tape"),
+        F.size(F.json_object_keys(text)).alias("n_fields"),
+    )
+
+
 # --- windows -----------------------------------------------------------------------------
 
 
@@ -310,11 +332,13 @@ def latest_ticks_feed(spark, sf):
 
 
 def waiting_messages(spark, sf):
-    """What a viewer who has seen everything up to the last purchase still has to get."""
+    """Per user, who follows its own messages and has seen all up to its last purchase: what waits."""
     log = I.table(spark, sf, "events")
-    rows = I.messages(log).select(F.col("offset").alias("arrival"), "partition")
-    seen = log.where("event_type = 'purchase'").agg(F.max("event_id").alias("last"))
-    return views.waiting_messages(rows, seen.scalar())
+    rows = I.messages(log).select(
+        F.col("key").cast("string").alias("viewer"), F.col("offset").alias("arrival"), "partition")
+    bought = F.max(F.when(F.col("event_type") == "purchase", F.col("event_id")))
+    marks = log.groupBy(F.col("user_id").cast("string").alias("viewer")).agg(bought.alias("seen"))
+    return views.waiting_messages(rows, marks)
 
 
 def latest_tick_per_symbol(spark, sf):
@@ -361,12 +385,8 @@ def status_report(spark, sf):
     marks = I.watermarks(spark, sf)
     dead = offsets.topic_sizes(marks, spark.createDataFrame([("R",)], "topic STRING"))
     fresh = views.model_freshness(_user_windows(spark, sf))
-    one = views.status_report(_lag(spark, sf), dead, fresh, I.STREAMING_GROUP, I.SINK_GROUP)
-    return one.select(
-        F.col("consumer_lag.streaming").alias("streaming_lag"),
-        F.col("consumer_lag.storage_sink").alias("sink_lag"), "dlq_depth",
-        F.explode("model_freshness").alias("symbol", "updated_at"),
-    )
+    report = views.status_report(_lag(spark, sf), dead, fresh, I.STREAMING_GROUP, I.SINK_GROUP)
+    return report.where("section != 'checked_at'")
 
 
 # --- factors and cross-reference ---------------------------------------------------------
@@ -509,16 +529,186 @@ def streamed_window_scores(spark, sf):
     )
 
 
+# The shipped jobs, over topics made from the tables: a file holds at most so many messages.
+ROWS_PER_FILE = 1 << 16
+STORED_MESSAGE = "key BINARY, value BINARY, topic STRING"
+
+
+def _place(spark) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/streams/{uuid.uuid4().hex}"
+
+
+def _middle(spark, sf):
+    """The event id that halves the events' range: what comes up to it, and what comes later."""
+    return I.table(spark, sf, "events").agg(F.max("event_id")).first()[0] // 2
+
+
+def _send(rows, place: str) -> str:
+    write_messages(rows, "parquet", place, rows_per_file=ROWS_PER_FILE)
+    return place
+
+
 def streamed_dead_letters(spark, sf):
-    def transform(events):
-        return deadletter.envelopes(validate.rejected(validate.validate_ticks(I.messages(events))))
+    place = _place(spark)
+    raw = stream_messages(spark, "parquet", _send(I.raw_messages(spark, sf), f"{place}/topic"))
+    jobs.start_dead_letters(raw, "parquet", f"{place}/dead", f"{place}/progress", True).awaitTermination()
+    return deadletter.parse_envelopes(stored(spark, f"{place}/dead", STORED_MESSAGE)).drop("failed_at")
+
+
+def streamed_replay(spark, sf):
+    """Two runs of the replay job; the second finds the letters that came after the first."""
+    place, middle = _place(spark), _middle(spark, sf)
+    letters = _dead_letters(spark, sf)
+    seen = []
+    for part in (F.col("original_offset") <= middle, F.col("original_offset") > middle):
+        _send(deadletter.envelope_messages(letters.where(part)), f"{place}/dead")
+        source = spark.readStream.schema(STORED_MESSAGE).parquet(f"{place}/dead")
+        jobs.start_replay(source, "parquet", f"{place}/back", f"{place}/progress").awaitTermination()
+        seen.append(written(stored(spark, f"{place}/back", f"{STORED_MESSAGE}, location STRING")))
+    first, both = seen
+    runs = first.withColumn("run", F.lit(1)).unionByName(both.exceptAll(first).withColumn("run", F.lit(2)))
+    return runs.select("topic", F.col("key").cast("string").alias("key"), F.hex("value").alias("value_hex"), "location", "run")
+
+
+def _trade_messages(spark, sf):
+    """Trades of the event types as messages of one topic partition each."""
+    events = I.table(spark, sf, "events")
+    trades = I.trades(events, F.col("event_type")).select(
+        F.lit("trade").alias("type"), "symbol", "ts", "price", "size", F.lit("V").alias("exchange"),
+        F.col("arrival").alias("trade_id"), F.array().cast("array<string>").alias("conditions"),
+        F.lit("C").alias("tape"), "arrival")
+    return normalise.tick_messages(trades).select(
+        "key", "value", "topic", F.length("key").alias("partition"), F.col("arrival").alias("offset"),
+        F.current_timestamp().alias("timestamp"))
+
+
+def _listed_details(rows, *more):
+    def number(name):
+        return F.round(F.get_json_object("details", f"$.{name}").cast("double"), 6).alias(name)
+
+    return rows.select(
+        F.col("ticker").alias("symbol"), F.unix_micros("window_start").alias("start_us"), "anomaly_type",
+        number("anomaly_score"), number("changepoint_probability"), *map(number, more))
+
+
+def streamed_detection(spark, sf):
+    """Messages to windows to events to the table, in two runs of the job with a fold in between."""
+    place, middle = _place(spark), _middle(spark, sf)
+    messages = _trade_messages(spark, sf)
+    table = AnomalyTable(spark, f"{place}/table")
+    params = DetectorParams(window_seconds=I.LONG_WINDOW_SECONDS, z_threshold=LOW_Z)
+    for part in (F.col("offset") <= middle, F.col("offset") > middle):
+        _send(messages.where(part), f"{place}/topic")
+        raw = stream_messages(spark, "parquet", f"{place}/topic")
+        jobs.start_detection(raw, table, f"{place}/progress", params=params, available_now=True).awaitTermination()
+        table.compact()
+    return _listed_details(table.read())
+
+
+def streamed_table_sink(spark, sf):
+    """Events on their topics, provisional readings first, into the table by two runs of the sink."""
+    place = _place(spark)
+    log = _anomaly_log(spark, sf)
+    topics = F.create_map(*[F.lit(x) for pair in S.ANOMALY_TYPE_TO_TOPIC.items() for x in pair])
+    table = AnomalyTable(spark, f"{place}/table")
+    for batch in (0, 1):
+        _send(log.where(F.col("batch") == batch).select(
+            F.col("ticker").cast("binary").alias("key"), F.col("details").cast("binary").alias("value"),
+            F.try_element_at(topics, F.col("anomaly_type")).alias("topic"), F.lit(0).alias("partition"),
+            F.monotonically_increasing_id().alias("offset"), F.col("detected_at").alias("timestamp"),
+        ), f"{place}/topic")
+        sent = stream_messages(spark, "parquet", f"{place}/topic", topics=tuple(S.TOPIC_TO_ANOMALY_TYPE))
+        jobs.start_table_sink(sent, table, f"{place}/progress", available_now=True).awaitTermination()
+        table.compact()
+    return _listed_details(table.read(), "volume", "realized_volatility")
+
+
+def streamed_delivery_audit(spark, sf):
+    """The audit as a stream in two runs, with a fold in between; most ids come up in both."""
+    place = _place(spark)
+    log = I.delivery_log(spark, sf)
+    odd = F.pmod(F.xxhash64(*log.columns), F.lit(2))
+    table = BatchTable(spark, f"{place}/table", jobs.AUDIT)
+    for part in (0, 1):
+        log.where(odd == part).write.mode("append").option("maxRecordsPerFile", ROWS_PER_FILE).parquet(f"{place}/log")
+        source = spark.readStream.schema(log.schema).parquet(f"{place}/log")
+        jobs.start_delivery_audit(source, table, f"{place}/progress", available_now=True).awaitTermination()
+        table.fold(jobs.newest_audit)
+    return jobs.current_audit(table).select(
+        "trade_id", "ticker", "attempts", F.unix_micros("first_processed_at").alias("first_us"),
+        F.unix_micros("last_processed_at").alias("last_us"))
+
+
+def _resumed(spark, sf) -> tuple[DataFrame, str]:
+    """Detection of the first half, then of the rest by another query that starts from its state."""
+    place, middle = _place(spark), _middle(spark, sf)
+    params = DetectorParams(window_seconds=I.LONG_WINDOW_SECONDS)
+    events, rows, state = I.table(spark, sf, "events"), None, None
+    for name, part in (("first", F.col("event_id") <= middle), ("second", F.col("event_id") > middle)):
+        events.where(part).write.parquet(f"{place}/{name}/events")
+        source = spark.readStream.schema(events.schema).parquet(f"{place}/{name}/events")
+        found = detect(I.trades(source, F.col("event_type")), params, state, rows_in_memory=512)
+        writer = found.writeStream.format("parquet").option("path", f"{place}/{name}/rows")
+        writer = writer.option("checkpointLocation", f"{place}/{name}/progress").trigger(availableNow=True)
+        writer.start().awaitTermination()
+        own = spark.read.schema(found.schema).parquet(f"{place}/{name}/rows")
+        rows = own if rows is None else rows.unionByName(own)
+        state = model_state(spark, f"{place}/{name}/progress")
+    return rows, f"{place}/second/progress"
+
+
+def resumed_window_scores(spark, sf):
+    return _resumed(spark, sf)[0].select(
+        "symbol", "window_index", F.unix_micros("window_start").alias("start_us"), _r("volume"),
+        _r("score_mean"), _r("score_std"), _r("anomaly_score"), "is_volume_anomaly")
+
+
+def freshness_from_saved_state(spark, sf):
+    """What the state store of the resumed query says of every symbol."""
+    rows = freshness_from_state(spark, _resumed(spark, sf)[1])
+    return rows.select("symbol", F.unix_micros("last_updated").alias("updated_us"))
+
 
-    return _drained(spark, sf, transform).drop("failed_at")
+def late_subscriber_feed(spark, sf):
+    """The live view of a viewer who came when half the messages were there: the newest of the rest."""
+    place, middle = _place(spark), _middle(spark, sf)
+    messages = I.raw_messages(spark, sf)
+    _send(messages.where(F.col("offset") <= middle), f"{place}/topic")
+    raw = stream_messages(spark, "parquet", f"{place}/topic", starting="latest")
+    _send(messages.where(F.col("offset") > middle), f"{place}/topic")
+    feeds = []
+    jobs.start_live_view(raw, feeds.append, f"{place}/progress", available_now=True).awaitTermination()
+    last = feeds[-1] if feeds else views.latest_messages(messages.where("false").withColumn("arrival", F.struct("offset")))
+    return last.select(
+        F.col("arrival.offset").alias("event_id"), F.col("key").cast("string").alias("key"),
+        F.get_json_object(F.col("value").cast("string"), "$.type").alias("type"))
+
+
+def streamed_drain(spark, sf):
+    """A stream's own backlog, as its progress reports tell it."""
+    place = _place(spark)
+    name = f"drain-{uuid.uuid4().hex}"
+    raw = stream_messages(spark, "parquet", _send(I.raw_messages(spark, sf), f"{place}/topic"), per_trigger=4)
+    reports = ProgressLog(spark, f"{place}/reports")
+    spark.streams.addListener(reports)
+    try:
+        ticks = raw.writeStream.queryName(name).format("noop").option("checkpointLocation", f"{place}/progress")
+        query = ticks.trigger(availableNow=True).start()
+        query.awaitTermination()
+        reports.wait(query)
+    finally:
+        spark.streams.removeListener(reports)
+    burst = I.table(spark, sf, "events").agg(F.count(F.lit(1)).alias("burst_size")).select(
+        F.lit(name).alias("run"), "burst_size", F.lit(1.0).alias("produce_seconds"))
+    summary = delivery.drain_summary(backlog_samples(reports.reports(), burst), settle_seconds=0.0)
+    return summary.select(
+        "burst_size", "produce_rate", (F.col("peak_lag") < F.col("burst_size")).alias("peak_below_burst"),
+        F.col("recovery_seconds").isNotNull().alias("drained"))
 
 
 QUERIES: tuple[Query, ...] = (
     tick_validation, valid_and_rejected_counts, dead_letter_envelopes, dead_letter_inspect,
-    dead_letter_replay, valid_trades, tick_messages, log_returns, anchored_windows,
+    dead_letter_replay, valid_trades, tick_messages, provider_messages, log_returns, anchored_windows,
     anchored_windows_many_symbols, anchored_windows_split, log_volatility, volume_scores,
     volume_anomalies, volume_anomalies_low_threshold, regime_scores, regime_changes,
     anomaly_events, anomaly_union, anomaly_payloads, anomaly_event_parsing, anomaly_upsert,
@@ -527,7 +717,9 @@ QUERIES: tuple[Query, ...] = (
     consumer_lag, start_offsets, topic_sizes, status_report, factor_scores, factor_moves,
     factor_moves_sparse, sharp_moves, cross_reference, match_summary, universe_ticks,
     ticker_union, prices_between, delivery_audit, delivery_summary, drain_summary,
-    detector_sweep, streamed_window_scores, streamed_dead_letters,
+    detector_sweep, streamed_window_scores, streamed_dead_letters, streamed_replay, streamed_detection,
+    streamed_table_sink, streamed_delivery_audit, resumed_window_scores, freshness_from_saved_state,
+    late_subscriber_feed, streamed_drain,
 )
 
 

@@ -1,11 +1,4 @@
-"""The keyed anomaly table, stored as plain parquet deliveries.
-
-Every micro-batch adds its rows under ``log/writer=W/batch=N``; a batch that was
-already written is left alone, so a retried batch changes nothing. Readers merge
-deliveries per key (see :func:`tickscope.operators.upsert.current_rows`). Writing
-costs what the batch holds, never what the table holds; :meth:`compact` folds
-finished deliveries into a new base now and then.
-"""
+"""The keyed anomaly table: deliveries that readers merge by key."""
 
 from __future__ import annotations
 
@@ -13,18 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickscope.operators.upsert import KEY, checked_types, current_rows
+from tickscope.sources.batch_table import BatchTable
 
 STORED = (
     "ticker STRING, window_start TIMESTAMP, anomaly_type STRING, details STRING, "
-    "detected_at TIMESTAMP, written_at TIMESTAMP, writer STRING, batch BIGINT"
+    "detected_at TIMESTAMP, written_at TIMESTAMP"
 )
 ORDER = ["written_at", "writer", "batch"]
 
 
 class AnomalyTable:
+    """Writing costs what the batch holds, never what the table holds."""
+
     def __init__(self, spark: SparkSession, path: str):
-        self.spark = spark
-        self.path = path.rstrip("/")
+        self.batches = BatchTable(spark, path, STORED)
 
     def upsert(self, rows: DataFrame, writer: str, batch: int, written_at=None) -> bool:
         """Deliver ``rows`` (ticker, window_start, anomaly_type, details).
@@ -34,92 +29,20 @@ class AnomalyTable:
         deliveries of different writers and defaults to now. Returns False when
         this writer's batch is in the table already.
         """
-        target = f"{self.path}/log/writer={writer}/batch={batch}"
-        if self._exists(f"{target}/_SUCCESS"):
-            return False
         now = F.current_timestamp() if written_at is None else written_at
         if "detected_at" not in rows.columns:
             rows = rows.withColumn("detected_at", now)
         if "arrival" not in rows.columns:
             rows = rows.withColumn("arrival", F.lit(0))
         one_each = current_rows(checked_types(rows), order=["arrival", "details"])
-        one_each.withColumn("written_at", now).write.mode("overwrite").parquet(target)
-        return True
-
-    def deliveries(self) -> DataFrame:
-        """The newest base and every delivery not folded into it yet."""
-        base, folded = self._newest_base()
-        stored = self._read_log(folded)
-        if base is not None:
-            rows = self.spark.read.schema(STORED).parquet(f"{base}/rows")
-            stored = rows if stored is None else rows.unionByName(stored)
-        return self.spark.createDataFrame([], STORED) if stored is None else stored
+        return self.batches.deliver(one_each.withColumn("written_at", now), writer, batch)
 
     def read(self) -> DataFrame:
         """One row per anomaly; empty when nothing was delivered yet."""
-        return current_rows(self.deliveries(), ORDER)
-
-    def compact(self) -> str | None:
-        """Fold all finished deliveries into a new base and return its path.
-
-        The list of folded batches is written after the rows, and only a base
-        with that list counts, so a crash on the way leaves the old one in use.
-        Nothing is deleted: old files can be removed once no reader needs them.
-        """
-        base, folded = self._newest_base()
-        finished = self._finished_batches()
-        if set(finished) == set(folded):
-            return base
-        number = 0 if base is None else int(base.rsplit("=", 1)[1]) + 1
-        target = f"{self.path}/base={number}"
-        kept = self.deliveries().groupBy(*KEY).agg(
-            F.max_by(F.struct("details", *ORDER), F.struct(*ORDER)).alias("newest"),
-            F.min("detected_at").alias("detected_at"),
-        )
-        kept.select(*KEY, "detected_at", "newest.*").write.mode("overwrite").parquet(f"{target}/rows")
-        self.spark.createDataFrame(finished, "writer STRING, batch BIGINT").coalesce(1).write.mode(
-            "overwrite"
-        ).json(f"{target}/folded")
-        return target
-
-    def _read_log(self, folded: list[tuple[str, int]]) -> DataFrame | None:
-        done = set(folded)
-        open_batches = [b for b in self._finished_batches() if b not in done]
-        if not open_batches:
-            return None
-        paths = [f"{self.path}/log/writer={w}/batch={n}" for w, n in open_batches]
-        return (
-            self.spark.read.option("basePath", f"{self.path}/log").schema(STORED).parquet(*paths)
-        )
-
-    def _newest_base(self) -> tuple[str | None, list[tuple[str, int]]]:
-        bases = [name for name in self._children(self.path) if name.startswith("base=")]
-        for name in sorted(bases, key=lambda n: int(n.split("=")[1]), reverse=True):
-            folder = f"{self.path}/{name}"
-            if self._exists(f"{folder}/folded/_SUCCESS"):
-                rows = self.spark.read.schema("writer STRING, batch BIGINT").json(f"{folder}/folded")
-                return folder, [(r["writer"], r["batch"]) for r in rows.toLocalIterator()]
-        return None, []
-
-    def _finished_batches(self) -> list[tuple[str, int]]:
-        found = []
-        for writer in self._children(f"{self.path}/log"):
-            for batch in self._children(f"{self.path}/log/{writer}"):
-                if self._exists(f"{self.path}/log/{writer}/{batch}/_SUCCESS"):
-                    found.append((writer.split("=", 1)[1], int(batch.split("=")[1])))
-        return found
-
-    def _fs(self, path: str):
-        jvm = self.spark._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
-
-    def _exists(self, path: str) -> bool:
-        fs, where = self._fs(path)
-        return fs.exists(where)
+        return current_rows(self.batches.deliveries(), ORDER)
 
-    def _children(self, path: str) -> list[str]:
-        fs, where = self._fs(path)
-        if not fs.exists(where):
-            return []
-        return sorted(s.getPath().getName() for s in fs.listStatus(where) if s.isDirectory())
+    def compact(self) -> int:
+        """Fold the deliveries so far into one row per anomaly; returns the number of the base."""
+        newest = F.max_by(F.struct("details", *ORDER), F.struct(*ORDER)).alias("newest")
+        return self.batches.fold(lambda rows: rows.groupBy(*KEY).agg(
+            newest, F.min("detected_at").alias("detected_at")).select(*KEY, "detected_at", "newest.*"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -11,41 +13,62 @@ from tickscope import schemas as S
 FILE_FORMATS = ("parquet", "orc", "json")
 
 
+Starting = str | dict[str, dict[int, int]]
+
+
 def stream_messages(
     spark: SparkSession,
     fmt: str,
     location: str,
     topics: tuple[str, ...] | None = (S.TICKS_TOPIC,),
-    starting: str = "earliest",
+    starting: Starting = "earliest",
     per_trigger: int | None = None,
     options: dict[str, str] | None = None,
 ) -> DataFrame:
     """Messages as a stream with the Kafka source's columns.
 
     ``location`` is the bootstrap servers for ``fmt='kafka'``, else a folder.
-    ``starting='latest'`` skips what is already there: from Kafka by offset, from
-    files by message time; use a fresh checkpoint with it. ``per_trigger`` bounds
-    a micro-batch in messages (Kafka) or files. ``topics=None`` takes every topic
-    found in a folder, for readers that check the topic themselves.
+    ``starting``: ``'earliest'``, ``'latest'`` (skips what is there when this is called), or
+    the first offset by topic and partition; partitions not named start at the first
+    message. Use a fresh checkpoint with the last two. ``per_trigger`` bounds a
+    micro-batch in messages (Kafka) or files, and with files written with
+    ``rows_per_file`` in messages too. ``topics=None`` takes every topic found in a
+    folder, for readers that check the topic themselves.
     """
     reader = spark.readStream.format(fmt).options(**(options or {}))
     if fmt == "kafka":
         reader = (
             reader.option("kafka.bootstrap.servers", location)
             .option("subscribe", ",".join(topics))
-            .option("startingOffsets", starting)
+            .option("startingOffsets", starting if isinstance(starting, str) else json.dumps(starting))
         )
         if per_trigger:
             reader = reader.option("maxOffsetsPerTrigger", per_trigger)
-        rows = reader.load()
-    else:
-        if per_trigger:
-            reader = reader.option("maxFilesPerTrigger", per_trigger)
-        rows = reader.schema(S.RAW_MESSAGE).load(location)
-        if starting == "latest":
-            now = spark.range(1).select(F.current_timestamp()).first()[0]
-            rows = rows.where(F.col("timestamp") >= F.lit(now))
-    return _of_topics(rows, topics)
+        return _of_topics(reader.load(), topics)
+    if per_trigger:
+        reader = reader.option("maxFilesPerTrigger", per_trigger)
+    rows = _of_topics(reader.schema(S.RAW_MESSAGE).load(location), topics)
+    if starting == "latest":
+        starting = next_offsets(read_messages(spark, fmt, location, topics, options))
+    return rows if starting == "earliest" else _from_offsets(rows, starting)
+
+
+def next_offsets(messages: DataFrame) -> dict[str, dict[int, int]]:
+    """By topic and partition, the offset after the last message there; a row for each partition."""
+    ends = messages.groupBy("topic", "partition").agg((F.max("offset") + 1).alias("offset"))
+    out: dict[str, dict[int, int]] = {}
+    for r in ends.collect():
+        out.setdefault(r["topic"], {})[r["partition"]] = r["offset"]
+    return out
+
+
+def _from_offsets(rows: DataFrame, starting: dict[str, dict[int, int]]) -> DataFrame:
+    before = F.lit(False)
+    for topic, partitions in starting.items():
+        for partition, offset in partitions.items():
+            here = (F.col("topic") == topic) & (F.col("partition") == partition)
+            before |= here & (F.col("offset") < offset)
+    return rows.where(~before)
 
 
 def read_messages(
@@ -91,11 +114,14 @@ def start_writing(
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def write_messages(messages: DataFrame, fmt: str, location: str, mode: str = "append") -> None:
-    """The same for a batch."""
+def write_messages(
+    messages: DataFrame, fmt: str, location: str, mode: str = "append", rows_per_file: int | None = None
+) -> None:
+    """The same for a batch. ``rows_per_file`` bounds a file, and so what a reader admits with it."""
     if fmt == "kafka":
         messages.select("topic", "key", "value").write.format("kafka").option(
             "kafka.bootstrap.servers", location
         ).save()
     else:
-        messages.write.format(fmt).mode(mode).partitionBy("topic").save(location)
+        writer = messages.write.format(fmt).mode(mode).partitionBy("topic")
+        (writer.option("maxRecordsPerFile", rows_per_file) if rows_per_file else writer).save(location)

@@ -15,8 +15,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tickscope import schemas as S
 from tickscope.functions.series import DetectorParams
-from tickscope.operators import deadletter, events, upsert, validate, views
+from tickscope.operators import deadletter, delivery, events, validate, views
 from tickscope.sources.anomaly_table import AnomalyTable
+from tickscope.sources.batch_table import BatchTable, stored
 from tickscope.sources.messages import start_writing
 from tickscope.streaming.detector import detect
 
@@ -128,10 +129,7 @@ def replay_some(
     after ``publish`` returns: a crash in between replays those records again and
     loses none. The limit is the operator's purpose, not a safeguard.
     """
-    spark = dead_letters.sparkSession
-    done = spark.createDataFrame([], "location STRING")
-    if AnomalyTable(spark, progress)._exists(progress):
-        done = spark.read.schema("location STRING").parquet(progress)
+    done = stored(dead_letters.sparkSession, progress, "location STRING")
     order = ["original_topic", "original_partition", "original_offset"]
     waiting = deadletter.decode(deadletter.parse_envelopes(dead_letters)).join(done, "location", "left_anti")
     chosen = waiting.orderBy(*order).limit(limit).persist()
@@ -145,6 +143,45 @@ def replay_some(
         chosen.unpersist()
 
 
+AUDIT = (
+    "trade_id BIGINT, ticker STRING, attempts BIGINT, first_processed_at TIMESTAMP, last_processed_at TIMESTAMP"
+)
+
+
+def start_delivery_audit(
+    log: DataFrame,
+    table: BatchTable,
+    checkpoint: str,
+    writer: str = "delivery-audit",
+    available_now: bool = False,
+) -> StreamingQuery:
+    """Attempts of every trade id of a delivery log, kept up to date as the log grows.
+
+    Counts live in the query's state; a micro-batch delivers the ids it changed to
+    ``table`` (of `AUDIT`), and `current_audit` reads the newest row of each. A
+    micro-batch that is handed over again finds its delivery there.
+    """
+
+    def take(batch: DataFrame, number: int) -> None:
+        table.deliver(batch, writer, number)
+
+    changed = delivery.delivery_audit(log).writeStream.foreachBatch(take).outputMode("update")
+    changed = changed.option("checkpointLocation", checkpoint)
+    return (changed.trigger(availableNow=True) if available_now else changed).start()
+
+
+def newest_audit(rows: DataFrame) -> DataFrame:
+    """The newest of each trade id's rows, with its writer and batch."""
+    rest = [c for c in rows.columns if c != "trade_id"]
+    newest = F.max_by(F.struct(*rest), F.struct("batch", "writer")).alias("newest")
+    return rows.groupBy("trade_id").agg(newest).select("trade_id", "newest.*")
+
+
+def current_audit(table: BatchTable) -> DataFrame:
+    """One row per trade id, as `delivery.delivery_audit` of the log so far."""
+    return newest_audit(table.deliveries()).drop("writer", "batch")
+
+
 def start_live_view(
     raw: DataFrame,
     show: Callable[[DataFrame], None],
