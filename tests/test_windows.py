@@ -130,7 +130,7 @@ def test_step_tables_keep_only_what_an_open_window_can_ask_for():
 
 def test_chunks_are_ordered_bounded_and_only_for_hot_keys(spark):
     rows = frame(spark, random_trades(8, 2000)).select("symbol", "arrival", "price")
-    buckets = hotkeys.chunk_hot_keys(rows, "symbol", "arrival", 500, top=F.max("arrival"))
+    buckets, bound = hotkeys.chunk_hot_keys(rows, "symbol", "arrival", 500, top=F.max("arrival"))
     cut = hotkeys.with_buckets(rows, buckets, "symbol", "arrival", 500, "chunk", "top")
     got = cut.groupBy("symbol", "chunk").agg(
         F.count(F.lit(1)).alias("n"), F.min("arrival").alias("lo"), F.max("arrival").alias("hi"), F.max("top").alias("top")
@@ -138,6 +138,7 @@ def test_chunks_are_ordered_bounded_and_only_for_hot_keys(spark):
     assert sum(r["n"] for r in got) == 2000
     assert {r["symbol"] for r in got if r["chunk"] is not None} == {"A"}
     hot = [r for r in got if r["symbol"] == "A"]
+    assert max(r["chunk"] for r in hot) < bound <= len(hot)
     assert len(hot) >= 3 and all(r["n"] <= 500 + 16 and r["top"] == r["hi"] for r in hot)
     assert all(a["hi"] < b["lo"] for a, b in zip(hot, hot[1:]))
     assert hotkeys.chunk_hot_keys(rows, "symbol", "arrival", 5000) is None

@@ -49,17 +49,17 @@ def assign_windows(
         "symbol", "arrival", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
         F.col("price").cast("double").alias("price"), F.col("size").cast("double").alias("size"),
     )
-    buckets = chunk_hot_keys(
+    cut = chunk_hot_keys(
         ticks, "symbol", "arrival", rows_per_chunk,
         top=F.max("ts_us"), last_price=F.max_by("price", "arrival"),
     )
     columns = ["symbol", "ts_us", "price", "size"]
-    if buckets is None:
+    if cut is None:
         keys, ready = ["symbol"], ticks
     else:
         keys = ["symbol", "chunk"]
         columns += ["chunk", "open_us", "open_index", "carried"]
-        entries = _chunk_entries(ticks, buckets, width, rows_per_chunk)
+        entries = _chunk_entries(ticks, *cut, width, rows_per_chunk)
         found = ("chunk", "open_us", "open_index", "carried")
         ready = with_buckets(ticks, entries, "symbol", "arrival", rows_per_chunk, *found)
         ready = ready.withColumn("chunk", F.coalesce("chunk", F.lit(0)))
@@ -167,7 +167,9 @@ def _with_markers(batch, number, start, ts, returns, closing) -> pa.RecordBatch:
     )
 
 
-def _chunk_entries(ticks: DataFrame, buckets: DataFrame, width: int, rows_per_chunk: int) -> DataFrame:
+def _chunk_entries(
+    ticks: DataFrame, buckets: DataFrame, chunks: int, width: int, rows_per_chunk: int
+) -> DataFrame:
     """The buckets with the open window, window number and last price at the start of their chunk.
 
     Each chunk is turned into a step table on its own, and a parallel prefix scan runs
@@ -176,18 +178,17 @@ def _chunk_entries(ticks: DataFrame, buckets: DataFrame, width: int, rows_per_ch
     to the level below. Tables stream by, so a task holds two of them, and each keeps
     only the entries that can be asked for.
     """
-    so_far = Window.partitionBy("symbol").orderBy("chunk")
-    earlier = so_far.rowsBetween(Window.unboundedPreceding, -1)
-    heads = (
-        buckets.groupBy("symbol", "chunk")
-        .agg(F.max("top").alias("top"), F.max_by("last_price", "bucket").alias("last_price"))
+    so_far = Window.partitionBy("symbol").orderBy("bucket")
+    top_before = F.max("top").over(so_far.rowsBetween(Window.unboundedPreceding, -1))
+    first = Window.partitionBy("symbol", "chunk").orderBy("bucket")
+    first = first.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    facts = written(
+        buckets.withColumns({"floor_us": F.coalesce(top_before, F.lit(NEVER)), "carried": F.lag("last_price").over(so_far)})
         .select(
-            "symbol", "chunk",
-            F.coalesce(F.max("top").over(earlier), F.lit(NEVER)).alias("floor_us"),
-            F.lag("last_price").over(so_far).alias("carried"),
+            "symbol", "bucket", "chunk",
+            F.first("floor_us").over(first).alias("floor_us"), F.first("carried").over(first).alias("carried"),
         )
     )
-    facts = written(buckets.select("symbol", "bucket", "chunk").join(heads, ["symbol", "chunk"]))
     hot = with_buckets(ticks, facts, "symbol", "arrival", rows_per_chunk, "chunk", "floor_us").where(
         F.col("chunk").isNotNull()
     )
@@ -195,8 +196,7 @@ def _chunk_entries(ticks: DataFrame, buckets: DataFrame, width: int, rows_per_ch
     tables = ordered.select("symbol", F.col("chunk").alias("place"), "floor_us", "ts_us").mapInArrow(
         _stepper(width), STEPS
     )
-    most = buckets.agg(F.max("chunk")).first()[0]
-    entries = _entries(tables, width, most + 1)
+    entries = _entries(tables, width, chunks)
     nothing = F.lit(None).cast("bigint")
     fresh = F.col("open_index") < 0
     return facts.join(entries.withColumnRenamed("place", "chunk"), ["symbol", "chunk"]).select(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tickscope.session import written
@@ -21,20 +21,22 @@ def bucket_of(order: str, bits: int) -> Column:
 
 def chunk_hot_keys(
     rows: DataFrame, key: str, order: str, rows_per_chunk: int = ROWS_PER_CHUNK, **facts: Column
-) -> DataFrame | None:
+) -> tuple[DataFrame, int] | None:
     """Buckets of the keys above ``rows_per_chunk``: key, bucket, chunk and ``facts`` of each.
 
     ``order`` is an integer unique within a key. It is cut into equal buckets
     (`bucket_of`); one aggregation, combined map-side, counts rows and works out
     ``facts`` (aggregates) for each, and running counts give ascending chunk numbers:
-    a chunk holds at most ``rows_per_chunk`` rows plus one bucket. The table is a
-    stored one with a row for each bucket, and facts of chunks follow from those of
-    buckets without another look at the rows. Returns None when no key is hot, so
-    that ordinary data takes a plan with no extra join.
+    a chunk holds at most ``rows_per_chunk`` rows plus one bucket. Facts of chunks follow
+    from those of buckets without another look at the rows. The second value is more
+    than any chunk number. Returns None when no key is hot, so that ordinary data takes
+    a plan with no extra join; to know that takes one count of the rows by key.
     """
-    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("total"))
-    hot = written(sizes.where(F.col("total") > rows_per_chunk).select(key))
-    if hot.isEmpty():
+    seen = Observation()
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("total")).where(F.col("total") > rows_per_chunk)
+    hot = written(sizes.observe(seen, F.max("total").alias("most")).select(key))
+    most = seen.get["most"]
+    if most is None:
         return None
 
     bits = bucket_bits(rows_per_chunk)
@@ -45,7 +47,8 @@ def chunk_hot_keys(
     )
     before = Window.partitionBy(key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     rows_before = F.coalesce(F.sum("n").over(before), F.lit(0))
-    return written(counts.withColumn("chunk", F.floor(rows_before / rows_per_chunk)).drop("n"))
+    chunk = F.floor(rows_before / rows_per_chunk)
+    return counts.withColumn("chunk", chunk).drop("n"), most // rows_per_chunk + 1
 
 
 def with_buckets(rows: DataFrame, buckets: DataFrame, key: str, order: str, rows_per_chunk: int, *names: str) -> DataFrame:
