@@ -49,6 +49,7 @@ PLANE = SIZE // 64  # words of one bit of all coordinates
 PARITY = 16  # 64-bit words of a parity bitmap; more would outgrow what the JVM compiles
 NO_ID = 1 << 62
 CHUNK = 1 << 20  # shingles sketched together
+CHUNK_DOCS = 4096  # and at most so many documents, and a batch's, are sketched together
 ALL_ONES = (1 << 64) - 1
 
 
@@ -161,7 +162,7 @@ def sketched(nodes: DataFrame, width: int) -> DataFrame:
 
     def rows(ids: list, hashes: list, sets: list[np.ndarray]) -> pa.RecordBatch:
         full = [i for i, s in enumerate(sets) if len(s)]
-        made = sketches([sets[i] for i in full])
+        made = sketches([sets[i] for i in full]) if full else None  # empty texts alone
         bands, bits, parity = ([None] * len(sets) for _ in range(3))
         if full:
             flips = parity_bitmaps([sets[i] for i in full])
@@ -181,7 +182,7 @@ def sketched(nodes: DataFrame, width: int) -> DataFrame:
             new = shingler.sets(batch.column("text").to_pylist())
             sets += new
             held += sum(map(len, new))
-            if held > CHUNK:
+            if held > CHUNK or len(ids) >= CHUNK_DOCS:
                 yield rows(ids, hashes, sets)
                 ids, hashes, sets, held = [], [], [], 0
         if ids:
