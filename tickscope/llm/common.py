@@ -14,6 +14,7 @@ from tickscope.session import apply_runtime_settings, written  # noqa: F401
 
 BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 LRU_HALF = 100_000
+KEY_LENGTH = 64
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,15 +54,22 @@ def tokenizer_file(name: str) -> str:
 
 
 class Memo:
-    """A bounded memo of two generations; one holds at most ``half`` entries and a batch's keys."""
+    """A bounded memo of two generations; one holds at most ``half`` entries and a batch's keys.
+
+    Keys longer than KEY_LENGTH are computed anew for each batch and not kept, so the
+    entries are bounded in size and not in number alone.
+    """
 
     def __init__(self, compute, half: int = LRU_HALF):
         self.compute, self.half = compute, half
         self.young: dict = {}
         self.old: dict = {}
+        self.long: list = []
 
     def many(self, keys: set) -> dict:
         """A table with the value of each key, computing in one call those not remembered."""
+        for key in self.long:
+            del self.young[key]
         if len(self.young) > self.half:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
@@ -71,6 +79,7 @@ class Memo:
         new = list(missing.difference(again))
         if new:
             young.update(zip(new, self.compute(new)))
+        self.long = [key for key in new if len(key) > KEY_LENGTH]
         return young
 
 
