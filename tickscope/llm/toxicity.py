@@ -12,9 +12,10 @@ document's score is a logistic function, fitted on the training rows, of its lar
 marginal and its expected number of toxic tokens; the offsets of tokens with a marginal
 above one half are the offending spans.
 
-The model is fitted on a bounded sample: at most SAMPLE rows of each label, those with
-the smallest hash of their id. Scoring covers every row and whole texts. Only the text
-is looked at. Null or empty text: no tokens, the score of an empty document. Null ids
+The model is fitted on a bounded sample: at most SAMPLE labelled documents of each
+label, those with the smallest hash of their id, with their whole texts; of several
+texts under one id one is taken, so repeated rows do not add to the sample. Scoring
+covers every row and whole texts. Only the text is looked at. Null or empty text: no tokens, the score of an empty document. Null ids
 are not held out by any remainder and pass through; repeated rows are scored alike.
 """
 
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from tickscope.llm.common import Memo, bound_batches, ids_and_texts
 
 THRESHOLD, SPAN_MARGINAL = 0.7, 0.5
-SAMPLE, SAMPLE_CHARS = 2500, 50_000
+SAMPLE = 2500
 FOLDS, HELD_OUT = 3, 1
 PREFIXES = (3, 4, 5, 6, 7, 8)
 LEAST_DOCUMENTS, LEAST_SHARE = 3, 0.9
@@ -175,6 +176,8 @@ def train(sample: list[tuple[str, int]], rounds: int = 60) -> Model:
     inside[np.cumsum(lengths) - lengths] = False
     at = np.flatnonzero(inside)
     real_pairs = np.array([[np.sum((label[at - 1] == x) & (label[at] == y)) for y in (0, 1)] for x in (0, 1)], dtype=float)
+    heads = np.cumsum(lengths) - lengths
+    real_heads = float(label[heads].sum()) if len(heads) else 0.0
     per_feature = np.maximum(1, np.bincount(of_feature, minlength=len(names)))
     for _ in range(rounds if found else 0):
         own = np.bincount(of_token, weights[of_feature], minlength=len(found))
@@ -187,6 +190,7 @@ def train(sample: list[tuple[str, int]], rounds: int = 60) -> Model:
         model.around += rate * (error * beside).sum() / max(1.0, beside.sum())
         model.transition += 0.1 * (real_pairs - pair_counts(model, score, lengths, passes)) / np.sqrt(1 + real_pairs)
         model.transition = np.clip(model.transition - model.transition[0, 0], -3, 3)
+        model.start[1] = np.clip(model.start[1] + 0.1 * (real_heads - p[heads].sum()) / np.sqrt(1 + real_heads), -3, 3)
         model.around = float(np.clip(model.around, -1, 1))
         model.bias = float(np.clip(model.bias, -8, 0))
     model.weights = {name: float(weights[i]) for name, i in names.items()}
@@ -250,9 +254,10 @@ def training_sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> l
     order = F.xxhash64("id")
     chosen = open_.where("toxic = 1").orderBy(order, "id").limit(size).union(
         open_.where("toxic = 0").orderBy(order, "id").limit(size))
-    rows = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS)  # of training rows alone
-    found = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("id", "text", "toxic").collect()
-    return [(r["text"], r["toxic"]) for r in sorted(found, key=lambda r: (r["id"], r["text"]))]
+    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull())
+    found = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).groupBy("id", "toxic").agg(
+        F.min_by("text", F.struct(F.xxhash64("text"), F.col("text"))).alias("text")).collect()  # 2 x size rows
+    return [(r["text"], r["toxic"]) for r in sorted(found, key=lambda r: (r["id"], r["toxic"]))]
 
 
 def scored(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
