@@ -9,7 +9,8 @@ node) reach the driver.
 Dimensions depend on the text alone, ties are ordered by its checksum, and a split
 prefers to keep rows of one text together: it goes through such a group only if
 keeping it whole would move the split by more than ``slack`` of a shard. Null text:
-size 1. Null ids are rows like others. Only built-in expressions.
+size 1. Null ids are rows like others, and rows repeating id and text are spread like
+others too. Only built-in expressions.
 """
 
 from __future__ import annotations
@@ -30,6 +31,10 @@ def metadata(docs: DataFrame) -> DataFrame:
     def occurrences(of):
         return F.length(text) - F.length(F.replace(text, F.lit(of), F.lit("")))
 
+    # Rows equal in id and text differ in the last bits, so a cut can go through them too. The row's number is
+    # only known where it is computed: the table is stored before it is used.
+    own = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 12))
+    ticket = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 28)) * (1 << 12) + own
     return docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
         (F.octet_length(text) + 1).cast("bigint").alias("size"),
@@ -37,7 +42,7 @@ def metadata(docs: DataFrame) -> DataFrame:
         occurrences("\n").cast("bigint").alias("lines"),
         (F.octet_length(text) - F.length(text)).cast("bigint").alias("wide"),
         occurrences(" ").cast("bigint").alias("spaces"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("ticket"),
+        ticket.alias("ticket"),
     )
 
 
@@ -142,7 +147,7 @@ def shard_table(docs: DataFrame, shards: int = SHARDS, slack: float = SLACK) ->
     rows = written(metadata(docs).withColumn("node", F.lit(0)))
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).first()
     placed = written(kd_leaves(rows, shards, slack * (total["size"] or 0) / shards))
-    slots = numbered_within(placed, total["n"], ["shard"], ["doc_id", "text_crc32", "size"], "slot")
+    slots = numbered_within(placed, total["n"], ["shard"], ["doc_id", "text_crc32", "size", "ticket"], "slot")
     return slots.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot",
         F.lit(None).cast("int").alias("grown_shard"))
