@@ -3,15 +3,15 @@
 1. Texts become token ids, a separator follows, and documents longer than a sequence
    are cut. Only (length, count) pairs of the pieces go to the driver: at most
    ``capacity`` rows, however many documents there are.
-2. A configuration is a multiset of lengths that fits one sequence. Every length has a
-   price, and a knapsack dynamic program finds the dearest configuration. First, full
-   configurations are taken greedily, as often as whole pieces allow, and the rest is
-   packed best fit, in bulk per length. If that needs over GAP more sequences than the
-   tokens do, the program that covers the histogram with the fewest configurations is
-   solved by multiplicative weights: prices fall with the share of demand covered, and
-   the configurations, wasteful ones included, add up to a fractional cover, until it is
-   within GAP of the dual bound. It is scaled to the demand and rounded down, best fit
-   packs the leftover, and the shorter plan is taken.
+2. A configuration is a multiset of lengths that fits one sequence. The linear program
+   that covers the histogram with the fewest configurations is solved by multiplicative
+   weights: every length has a price, which falls with the share of its demand that is
+   covered, and a knapsack dynamic program finds the dearest configuration, and with the
+   same table the dearest one around any length. The configurations add up to a
+   fractional cover; prices over the dearest configuration are a dual solution, and the
+   cover is done when it is within GAP of the best dual bound so far, and only then. It
+   is scaled to the demand and rounded down, and best fit, in bulk per length, packs the
+   leftover into the rooms that are left and into new sequences.
 3. The plan says how many sequences of which configuration there are. Pieces are
    numbered within their length by counts of hashed groups, so no length is gathered
    in one task, and the number alone tells sequence and offset.
@@ -37,8 +37,12 @@ from pyspark.sql import functions as F
 from tickscope.llm.common import Memo, bound_batches, hash_of, ids_and_texts, kept_by_worker, numbered_within, tokenizer_file, written
 
 CAPACITY, SEPARATOR = 2048, 0
-ROUNDS, LEARNING_RATE = 300, 0.5
-GAP, COVER_RATE, COVER_ROUNDS = 0.01, 0.1, 1000  # a cover stops there at the latest, with its gap as it is
+# The relative gap of the cover, how fast prices fall, and how close to the dearest a configuration must be.
+# Pieces that add less than LIGHT of the value of a configuration, together, are left out of it where they
+# are so rare that they would bound how often it can be used.
+GAP, RATE, NEAR, LIGHT = 0.05, 0.15, 0.03, 0.01
+MISSES = 16
+SETTLED = 32  # from this coverage on prices fall ever more slowly, so that any gap closes in the end
 WORDS_KEPT = 300_000  # words whose ids a worker remembers, in each of the memo's two generations
 MARK, CHUNK = "\x02", 2000  # a character that no text on the fast path has; words encoded together
 # Fixed value: the pre-token pattern of the lower-casing vocabulary.
@@ -144,33 +148,33 @@ def token_pieces(docs: DataFrame, description: str, capacity: int = CAPACITY, se
 # --- 2. the linear program over the length histogram -------------------------------------
 
 
-def best_configuration(lengths: np.ndarray, prices: np.ndarray, left: np.ndarray, capacity: int) -> Counter:
-    """The dearest configuration, by unbounded knapsack over ``lengths``; left: pieces to be had of each."""
-    best = np.zeros(capacity + 1)
-    took = np.full(capacity + 1, -1, dtype=np.int64)
-    order = np.argsort(lengths)
-    sizes, values = lengths[order], prices[order]
-    upto = np.searchsorted(sizes, np.arange(capacity + 1), side="right")
+def knapsack(prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """By room: the value of the dearest configuration in it, and a length of that one (0: leave one free).
+
+    ``prices`` by length from 0 to ``capacity``, below 0 for lengths there are none of.
+    """
+    best, took = np.zeros(capacity + 1), np.zeros(capacity + 1, dtype=np.int64)
+    backwards = np.zeros(capacity + 1)  # ``best`` from its end, so that a room's choices lie side by side
+    values = np.empty(capacity)
     for room in range(1, capacity + 1):
-        n = upto[room]
-        best[room] = best[room - 1]
-        if n:
-            found = best[room - sizes[:n]] + values[:n]
-            k = int(found.argmax())
-            if found[k] > best[room]:
-                best[room], took[room] = found[k], k
-    found, room, stock = Counter(), capacity, left[order]
+        found = np.add(backwards[capacity + 1 - room:], prices[1:room + 1], out=values[:room])
+        k = int(found.argmax())
+        if found[k] > best[room - 1]:
+            best[room], took[room] = found[k], k + 1
+        else:
+            best[room] = best[room - 1]
+        backwards[capacity - room] = best[room]
+    return best, took
+
+
+def configuration(took: np.ndarray, room: int) -> Counter:
+    found: Counter = Counter()
     while room > 0:
-        k = took[room]
-        if k < 0:
-            room -= 1
-            continue
-        length = int(sizes[k])
-        if found[length] >= stock[k]:
-            break  # no more pieces of this length; the last step of packing fills the room
-        found[length] += 1
-        room -= length
-    return +found
+        length = int(took[room])
+        if length:
+            found[length] += 1
+        room -= length or 1
+    return found
 
 
 def best_fit(plan: Counter, histogram: dict[int, int], capacity: int) -> Counter:
@@ -227,75 +231,74 @@ def best_fit(plan: Counter, histogram: dict[int, int], capacity: int) -> Counter
     return out
 
 
-def fractional_cover(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> dict[tuple, float]:
-    """Configurations and their uses, fractions too, that cover ``demand``: near the linear program's optimum."""
+def fractional_cover(histogram: dict[int, int], capacity: int, gap: float = GAP) -> tuple[dict[tuple, float], float]:
+    """Configurations and their uses, fractions too, that cover ``histogram``; and a bound no cover is below.
+
+    The uses add up to at most 1 + ``gap`` times the bound.
+    """
+    lengths = np.array(sorted(histogram), dtype=np.int64)
+    demand = np.array([histogram[n] for n in lengths], dtype=float)
     at = {int(n): i for i, n in enumerate(lengths)}
-    endless = np.full(len(lengths), np.inf)
-    uses: dict[tuple, float] = {}
     share, total, bound = np.zeros(len(lengths)), 0.0, 0.0
-    for _ in range(max(COVER_ROUNDS, 2 * len(lengths))):
-        prices = np.exp(-COVER_RATE * (share - share.min())) / demand
-        found = best_configuration(lengths, prices, endless, capacity)
-        index = np.array([at[n] for n in found], dtype=np.int64)
-        pieces = np.array(list(found.values()), dtype=float)
-        # Any prices, divided by the value of the dearest configuration, are feasible for the dual.
-        bound = max(bound, float((prices * demand).sum() / (prices[index] * pieces).sum()))
-        n = float((demand[index] / pieces).min())
-        configuration = tuple(sorted(found.items(), reverse=True))
-        uses[configuration] = uses.get(configuration, 0.0) + n
-        share[index] += n * pieces / demand[index]
-        total += n
-        if share.min() > 0 and total / share.min() <= (1 + GAP) * bound:
-            break
-    scale = float(share.min())
-    return {c: n / scale for c, n in uses.items()} if scale > 0 else {}
+    uses: dict[tuple, float] = {}
+    prices = np.full(capacity + 1, -np.inf)
+    while True:
+        least = share.min()
+        rate = RATE * min(1.0, SETTLED / max(least, 1.0))
+        # Where nothing need be wasted a token is worth the same everywhere: prices start there.
+        weight = lengths * demand * np.exp(-rate * (share - least))
+        prices[lengths] = weight / weight.sum() / demand
+        best, took = knapsack(prices, capacity)
+        bound = max(bound, 1 / best[capacity])
+        around = prices[lengths] + best[capacity - lengths]
+        near = np.flatnonzero(around >= (1 - NEAR) * best[capacity])
+        gained, misses = np.zeros(len(lengths)), 0
+        for i in near[np.argsort(share[near], kind="stable")].tolist():
+            first = not gained.any()
+            if gained[i] or not first and share[i] >= least + 1:
+                continue
+            found = configuration(took, capacity - int(lengths[i]))
+            found[int(lengths[i])] += 1
+            worth = LIGHT * best[capacity] / len(found)
+            heavy = {n: k for n, k in found.items() if n == lengths[i] or k * prices[n] >= worth}
+            often = min(histogram[n] / k for n, k in heavy.items())
+            if often > 4 * min(histogram[n] / k for n, k in found.items()):
+                found = heavy
+            index = np.fromiter((at[n] for n in found), np.int64, len(found))
+            if not first and gained[index].max() >= 1:
+                misses += 1
+                if misses == MISSES:
+                    break  # what these have in common is covered for now; it takes other prices to go on
+                continue
+            pieces = np.fromiter(found.values(), float, len(found))
+            n = float((demand[index] / pieces).min())
+            key = tuple(sorted(found.items(), reverse=True))
+            uses[key] = uses.get(key, 0.0) + n
+            gained[index] += n * pieces / demand[index]
+            total += n
+        share += gained
+        scale = float(share.min())
+        if scale > 0 and total / scale <= (1 + gap) * bound:
+            return {c: n / scale for c, n in uses.items()}, bound
 
 
 def rounded(cover: dict[tuple, float], histogram: dict[int, int], capacity: int) -> Counter:
     """A whole plan: ``cover`` rounded down, no piece used twice, and best fit for the leftover."""
     left, plan = Counter(histogram), Counter()
-    for configuration, n in sorted(cover.items(), key=lambda item: (-item[1], item[0])):
-        n = min(int(n + 1e-9), *(left[length] // k for length, k in configuration))
+    for used, n in sorted(cover.items(), key=lambda item: (-item[1], item[0])):
+        n = min(int(n + 1e-9), *(left[length] // k for length, k in used))
         if n > 0:
-            plan[configuration] += n
-            left.subtract({length: n * k for length, k in configuration})
+            plan[used] += n
+            left.subtract({length: n * k for length, k in used})
     return best_fit(plan, +left, capacity)
 
 
-def packing_plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS,
-                 rate: float = LEARNING_RATE) -> list[tuple[tuple[tuple[int, int], ...], int]]:
+def packing_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[tuple[int, int], ...], int]]:
     """Configurations ((length, pieces), ...) and how many sequences have each."""
-    lengths = np.array(sorted(histogram), dtype=np.int64)
-    if not len(lengths):
+    if not histogram:
         return []
-    demand = np.array([histogram[n] for n in lengths], dtype=float)
-    at = {int(n): i for i, n in enumerate(lengths)}
-    left = demand.copy()
-    prices = lengths / capacity  # feasible for the dual, and optimal if nothing need be wasted
-    plan: Counter = Counter()
-    for _ in range(rounds):
-        open_ = left > 0
-        if not open_.any():
-            break
-        found = best_configuration(lengths[open_], prices[open_], left[open_], capacity)
-        index = np.array([at[n] for n in found], dtype=np.int64)
-        pieces = np.array(list(found.values()), dtype=float)
-        uses = int((left[index] // pieces).min())
-        if sum(n * k for n, k in found.items()) == capacity:
-            # Whole sequences without waste are taken, but leave some of each length to mix.
-            uses = max(1, int(uses * rate)) if uses > 4 else uses
-            plan[tuple(sorted(found.items(), reverse=True))] += uses
-            left[index] -= uses * pieces
-        share = pieces * uses / demand[index]
-        prices[index] *= np.exp(-rate * np.maximum(share, 1e-3))
-        prices *= (lengths / capacity * demand).sum() / (prices * demand).sum()
-    rest = {int(n): int(k) for n, k in zip(lengths, left) if k > 0}
-    greedy = best_fit(plan, rest, capacity)
-    least = -(-int((lengths * demand).sum()) // capacity)
-    if greedy.total() > least + max(1, GAP * least):
-        covering = rounded(fractional_cover(lengths, demand, capacity), histogram, capacity)
-        greedy = min(greedy, covering, key=Counter.total)
-    return sorted(greedy.items(), reverse=True)
+    cover, _ = fractional_cover(histogram, capacity)
+    return sorted(rounded(cover, histogram, capacity).items(), reverse=True)
 
 
 # --- 3. pieces into the plan --------------------------------------------------------------
@@ -319,15 +322,17 @@ def plan_table(spark, plan: list) -> DataFrame:
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` (of :func:`token_pieces`) with sequence_id and offset."""
-    pieces = written(pieces)
+    names = pieces.columns
+    # Repeated rows get different salts, so their pieces are dealt to different groups. Stored before it is used.
+    pieces = written(pieces.withColumn("_salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 16))))
     counts = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # at most ``capacity`` rows
     plan = packing_plan({r["length"]: r["n"] for r in counts}, capacity)
-    counted = numbered_within(pieces, sum(r["n"] for r in counts), ["length"], ["doc_id", "piece", "ids_crc32"])
+    counted = numbered_within(pieces, sum(r["n"] for r in counts), ["length"], ["doc_id", "piece", "ids_crc32", "_salt"])
     placed = counted.join(plan_table(pieces.sparkSession, plan), F.col("length") == F.col("of_length"))
     run = F.element_at(F.filter("runs", lambda r: r["first"] <= F.col("number")), -1)
     placed = placed.withColumn("run", run).withColumn("over", F.col("number") - F.col("run.first"))
     return placed.select(
-        *pieces.columns,
+        *names,
         (F.col("run.sequence") + F.floor(F.col("over") / F.col("run.each"))).cast("bigint").alias("sequence_id"),
         (F.col("run.offset") + F.col("over") % F.col("run.each") * F.col("length")).cast("bigint").alias("offset"),
     )
