@@ -82,18 +82,19 @@ QUERIES = {q.__name__: _prepared(q) for q in (
 
 ORACLES = {
     "op10_line_dedup": """
-WITH rows AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-lines AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM rows),
+WITH rows AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+lines AS (SELECT r, doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM rows),
 keyed AS (
-    SELECT doc_id, line, pos,
+    SELECT r, doc_id, line, pos,
            translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
     FROM lines),
 frequent AS (
-    SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+    SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key
+    HAVING count(DISTINCT doc_id) + max(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END) >= 10)
 SELECT k.doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE f.key IS NULL), '')) AS kept_sha256
-FROM keyed k LEFT JOIN frequent f ON k.key = f.key GROUP BY k.doc_id
+FROM keyed k LEFT JOIN frequent f ON k.key = f.key GROUP BY k.r, k.doc_id
 """,
     "op11_pair_bound_maxscore": """
 WITH folded AS (
