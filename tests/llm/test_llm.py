@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 
 from tickscope.llm import (
-    byte_bpe, line_dedup, near_dup, neighbours, packing, pii, quality, shards, token_counts, toxicity,
+    byte_bpe, common, line_dedup, near_dup, neighbours, packing, pii, quality, shards, token_counts, toxicity,
 )
 
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -98,6 +98,25 @@ def test_packing(docs, texts):
     assert len(places) <= 1.05 * -(-total // 2048) + 2
 
 
+def test_covers_are_within_their_gap_and_cover():
+    rnd = random.Random(7)
+    spread = dict(collections.Counter(rnd.randint(1, 2048) for _ in range(3000)))
+    for histogram in (spread, {2048: 5}, {1: 4}, {683: 10 ** 6, 1: 3}, {1025: 7, 1023: 3}, {1053: 6000, 570: 6000, 540: 6000, 453: 12_000},
+                      {145: 61_117, 83: 10, 157: 7284, 183: 8, 335: 732_637}):
+        cover, bound = packing.fractional_cover(histogram, 2048)
+        had = collections.Counter()
+        for configuration, n in cover.items():
+            assert n > 0 and sum(length * k for length, k in configuration) <= 2048
+            for length, k in configuration:
+                had[length] += n * k
+        assert all(had[length] >= n * (1 - 1e-9) for length, n in histogram.items())
+        tokens = sum(length * n for length, n in histogram.items()) / 2048
+        assert tokens <= bound * (1 + packing.GAP) and sum(cover.values()) <= (1 + packing.GAP) * bound
+        plan = packing.rounded(cover, histogram, 2048)
+        assert plan.total() >= bound * (1 - 1e-9)
+    assert packing.packing_plan({}) == []
+
+
 def test_packing_plans_beat_greedy_ones():
     rnd = random.Random(1)
     histogram = dict(collections.Counter(rnd.randint(500, 1100) for _ in range(20_000)))
@@ -365,6 +384,52 @@ def test_shards_are_even_and_keep_texts_together(spark):
     assert len(sizes) == 8  # a group above a shard's size is split
 
 
+def test_repeated_rows_are_spread_over_shards_and_groups(spark):
+    rows = [(None, "one text")] * 1000 + [(7, "another")] * 1000
+    placed = shards.shard_table(spark.createDataFrame(rows, "doc_id bigint, text string")).toPandas()
+    sizes = placed.groupby("shard")["size"].sum()
+    assert len(sizes) == 8 and sizes.max() < 1.1 * sizes.mean()
+    assert all(sorted(g["slot"]) == list(range(len(g))) for _, g in placed.groupby("shard"))
+
+
+def test_memos_do_not_keep_long_keys():
+    memo = common.Memo(lambda keys: [len(k) for k in keys], half=10)
+    for n in range(50):
+        keys = {"a" * (65 + n), "b", f"c{n}"}
+        table = memo.many(keys)
+        assert {k: table[k] for k in keys} == {k: len(k) for k in keys}
+        assert sum(len(k) > 64 for k in [*memo.young, *memo.old]) <= 2 and len(memo.young) <= 14
+
+
+def test_masses_of_short_texts_are_sketched_in_bounded_batches(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "CHUNK_DOCS", 64)
+    rows = [(i, f"w{i % 700}") for i in range(1400)] + [(2000 + i, "") for i in range(300)]
+    got = near_dup.near_dup_table(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1))
+    want = collections.Counter((i, 1, i % 700, i < 700) for i in range(1400))
+    want.update((2000 + i, 0, 2000 + i, True) for i in range(300))
+    assert rows_of(got, "doc_id", "n_shingles", "component_id", "kept") == want
+
+
+def test_toxicity_of_odd_texts(spark, docs, texts):
+    known = [(i, int("0" in (t or ""))) for i, t in texts if i is not None]
+    labels = spark.createDataFrame([*known, *known, (None, 1), (9, None), (10, 7)], "doc_id bigint, toxic int")
+    long_one = spark.createDataFrame([(5000, "word " * 30_000), (5000, "other " * 30_000)], "doc_id bigint, text string")
+    rows = docs.select("doc_id", "text").unionByName(long_one)
+    got = toxicity.toxicity_table(rows.selectExpr("*", "1 AS score", "2 AS toxic"), labels.unionByName(
+        spark.createDataFrame([(5000, 0)], "doc_id bigint, toxic int")), spans=True).collect()
+    assert collections.Counter(r["doc_id"] for r in got) == collections.Counter([*[i for i, _ in texts], 5000, 5000])
+    by_text = {}
+    for r in got:
+        assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7)
+    for i, score in [(r["doc_id"], r["score"]) for r in got]:
+        by_text.setdefault(i, set()).add(score)
+    assert len(by_text[9]) == 1  # repeated rows
+    sample = toxicity.training_sample(rows, labels, size=1000)
+    ids = {i for i, _ in known if zlib.crc32(str(i).encode()) % 3 != 1}
+    texts_of = {i: t for i, t in texts if t}
+    assert len(sample) <= len(ids) + 1 and max(len(t) for t, _ in sample) == max(len(texts_of[i]) for i in ids if i in texts_of)
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(1500, 24)).astype("float32") * rng.uniform(0.5, 2, size=(1500, 1)).astype("float32")
