@@ -5,8 +5,10 @@ addresses, national phone numbers, card numbers next to other digits, versions r
 addresses). Labelers vote on each: shape (regex), checksum or range, gazetteer of
 prefixes and endings, context words before it, and what touches it. Expectation
 maximisation on the counts of vote patterns estimates how reliable each labeler is,
-and with the probabilities it gives, a logistic span classifier is trained on the same
-patterns plus kind and shape. It decides on the loose candidates; base matches stay.
+and with the probabilities it gives, a logistic span classifier is trained on the kind,
+the votes and products of votes, with rare patterns counting for more than their number.
+It decides on the loose candidates; base matches stay. The effort of a text grows with
+its length and the number of its spans, not with their product.
 
 Texts and votes are handled by built-in expressions alone. Only counts of vote
 patterns reach the driver: 3 values for each of 5 labelers in 4 kinds, 972 rows at most.
@@ -27,7 +29,8 @@ from tickscope.llm.common import fresh, let, written
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("shape", "check", "gazetteer", "context", "edges")
 ACCEPT, PRIOR, ROUNDS, STEPS = 0.9, 0.5, 50, 400
-CONTEXT, BLOCK = 24, 256
+CONTEXT, BLOCK, WINDOW = 24, 256, 1024
+FAR = 1 << 60
 # The base patterns. A run of the first class can only match from its
 # start or where the last match ended, which keeps long runs from being tried anew.
 BASE = {
@@ -59,14 +62,14 @@ CUES = {
 AGAINST = r"(?i)(?:version|\bv|release|section|isbn|order|invoice|token|password|key|#)\W{0,3}$"
 
 
-def prefix_sums(numbers):
-    """Sum of the numbers before each place. In blocks, as arrays are copied while they grow."""
-    zero = F.lit(0).cast("bigint")
+def before_each(numbers, step, zero: int):
+    """``step`` folded over the numbers before each place. In blocks, as arrays are copied while they grow."""
+    start = F.lit(zero).cast("bigint")
 
-    def sums(values, first):
-        started = F.struct(first.alias("sum"), F.array().cast("array<bigint>").alias("all"))
+    def folded(values, first):
+        started = F.struct(first.alias("so_far"), F.array().cast("array<bigint>").alias("all"))
         return F.aggregate(values, started, lambda s, n: F.struct(
-            (s["sum"] + n).alias("sum"), F.concat(s["all"], F.array(s["sum"])).alias("all")))["all"]
+            step(s["so_far"], n).alias("so_far"), F.concat(s["all"], F.array(s["so_far"])).alias("all")))["all"]
 
     def blocked(values):
         blocks = F.transform(
@@ -74,20 +77,63 @@ def prefix_sums(numbers):
             lambda b: F.slice(values, (b * BLOCK + 1).cast("int"), BLOCK))
 
         def whole(parts):
-            totals = F.transform(parts, lambda p: F.aggregate(p, zero, lambda a, n: a + n))
-            return let(sums(totals, zero), lambda firsts: F.flatten(F.transform(
-                parts, lambda p, i: sums(p, F.get(firsts, i)))))
+            totals = F.transform(parts, lambda p: F.aggregate(p, start, step))
+            return let(folded(totals, start), lambda firsts: F.flatten(F.transform(
+                parts, lambda p, i: folded(p, F.get(firsts, i)))))
 
         return let(blocks, whole)
 
     return let(numbers, lambda v: F.when(F.size(v) > 0, blocked(v)).otherwise(F.array().cast("array<bigint>")))
 
 
+def prefix_sums(numbers):
+    return before_each(numbers, lambda a, n: a + n, 0)
+
+
+def windows(text):
+    """The text in pieces of WINDOW code points, so that no place in it is far from a start."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{WINDOW}}}"), F.lit(0))
+
+
+def cut_out(pieces, begin, length):
+    """``length`` code points of the text from ``begin`` (from 0) on; at most WINDOW of them."""
+    at = F.floor(begin / WINDOW).cast("int")
+    near = F.concat(F.coalesce(F.get(pieces, at), F.lit("")), F.coalesce(F.get(pieces, at + 1), F.lit("")))
+    return F.substring(near, (begin - at * WINDOW + 1).cast("int"), length.cast("int"))
+
+
+def apart_from(frame: DataFrame, spans: str, others: str, out: str) -> DataFrame:
+    """``frame`` with ``out``: the spans of one column that none of another column's overlaps, in order.
+
+    Both are put in one order by start. What began earlier reaches over a span if the
+    largest end so far does, and what begins later lies in it if the next start does.
+    Works column by column: nested in one expression it would be too deep to analyse.
+    """
+    every, reach, following = fresh(frame, "_every", "_reach", "_following")
+
+    def ordered(which: int):
+        return lambda x: F.struct(x["start"].alias("start"), F.lit(which).alias("which"), x["end"].alias("end"), x.alias("span"))
+
+    both = F.concat(F.transform(others, ordered(0)), F.transform(spans, ordered(1)))
+    none = (F.size(spans) == 0) | (F.size(others) == 0)
+    frame = frame.withColumn(every, F.sort_array(F.when(none, F.slice(both, 1, 0)).otherwise(both)))
+    ends = F.transform(every, lambda x: F.when(x["which"] == 0, x["end"]).otherwise(F.lit(0)))
+    starts = F.transform(F.reverse(every), lambda x: F.when(x["which"] == 0, x["start"]).otherwise(F.lit(FAR)))
+    frame = frame.withColumns({
+        reach: before_each(ends, lambda a, n: F.greatest(a, n), 0),
+        following: F.reverse(before_each(starts, lambda a, n: F.least(a, n), FAR))})
+    free = F.zip_with(F.zip_with(every, reach, lambda x, end: F.struct(
+        x.alias("x"), ((x["which"] == 1) & (end <= x["start"])).alias("free"))), following, lambda y, start: F.struct(
+            y["x"]["span"].alias("span"), (y["free"] & (start >= y["x"]["end"])).alias("free")))
+    kept = F.transform(F.filter(free, lambda x: x["free"]), lambda x: x["span"])
+    return frame.withColumn(out, F.when(none, F.col(spans)).otherwise(kept)).drop(every, reach, following)
+
+
 SPAN = "array<struct<kind: int, start: bigint, end: bigint, value: string, before: string, after: string>>"
 
 
-def matches(text, kind: int, pattern: str):
-    """Leftmost matches, not overlapping, with their places."""
+def matches(text, pieces, kind: int, pattern: str):
+    """Leftmost matches, not overlapping, with their places; ``pieces``: the text's `windows`."""
     found, parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
 
     def placed(m):
@@ -97,9 +143,9 @@ def matches(text, kind: int, pattern: str):
         ends = F.zip_with(prefix_sums(steps), steps, lambda a, b: a + b)
         return F.zip_with(m, ends, lambda x, end: F.struct(
             F.lit(kind).alias("kind"), (end - F.length(x)).alias("start"), end.alias("end"), x.alias("value"),
-            F.substring(text, F.greatest(F.lit(1), (end - F.length(x) - CONTEXT + 1).cast("int")),
-                        F.least(F.lit(CONTEXT), (end - F.length(x)).cast("int"))).alias("before"),
-            F.substring(text, (end + 1).cast("int"), F.lit(1)).alias("after")))
+            cut_out(pieces, F.greatest(F.lit(0), end - F.length(x) - CONTEXT),
+                    F.least(F.lit(CONTEXT), end - F.length(x))).alias("before"),
+            cut_out(pieces, end, F.lit(1)).alias("after")))
 
     return let(found, placed).cast(SPAN)
 
@@ -131,20 +177,20 @@ def hint(text, kind: str):
     return {"email": text.contains("@"), "phone": text.contains("+")}.get(kind, text.rlike("[0-9]{2}|[0-9][. -][0-9]"))
 
 
-def base_spans(text):
+def base_spans(text, pieces):
     none = F.array().cast(SPAN)
 
     def valid(k, kind):
-        return F.filter(matches(text, k, BASE[kind]), lambda s: passes(kind, s["value"]))
+        return F.filter(matches(text, pieces, k, BASE[kind]), lambda s: passes(kind, s["value"]))
 
     return F.concat(*[F.when(hint(text, kind), valid(k, kind)).otherwise(none) for k, kind in enumerate(KINDS)])
 
 
-def loose_spans(text):
+def loose_spans(text, pieces):
     none = F.array().cast(SPAN)
     hints = {"email": text.rlike(r"(?:\(at\)|\[at\]| at )") & text.rlike(r"(?:\(dot\)|\[dot\]| dot )")}
     return F.concat(*[
-        F.when(hints.get(kind, text.rlike("[0-9]{3}|[0-9][.][0-9]")), matches(text, k, LOOSE[kind])).otherwise(none)
+        F.when(hints.get(kind, text.rlike("[0-9]{3}|[0-9][.][0-9]")), matches(text, pieces, k, LOOSE[kind])).otherwise(none)
         for k, kind in enumerate(KINDS)])
 
 
@@ -242,32 +288,36 @@ def probability(span, weights: list[float]):
 
 def found_spans(docs: DataFrame, keep: list[str], accept: float = ACCEPT) -> tuple[DataFrame, str]:
     """The columns ``keep`` and a struct (base, added): arrays of spans in order, not overlapping."""
-    (name,) = fresh(docs, "_spans")
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    name, text, pieces, base, loose, free = fresh(docs, "_spans", "_text", "_pieces", "_base", "_loose", "_free")
 
     def voted(spans):
         return F.transform(spans, lambda s: F.struct(s["kind"], s["start"], s["end"], votes(s).alias("votes")))
 
-    def both(base):
-        free = F.filter(loose_spans(text), lambda s: ~F.exists(
-            base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-        return F.struct(voted(base).alias("base"), voted(free).alias("loose"))
-
-    rows = written(docs.select(*keep, let(base_spans(text), both).alias(name)))
-    spans = rows.select(F.explode(F.concat(F.col(name)["base"], F.col(name)["loose"])).alias("s")).select("s.kind", "s.votes.*")
+    whole = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(*keep, whole.alias(text)).withColumn(pieces, windows(F.col(text)))
+    rows = rows.select(*keep, base_spans(F.col(text), F.col(pieces)).alias(base), loose_spans(F.col(text), F.col(pieces)).alias(loose))
+    rows = apart_from(rows, loose, base, free)
+    rows = written(rows.select(*keep, voted(base).alias(base), voted(free).alias(loose)))
+    spans = rows.select(F.explode(F.concat(base, loose)).alias("s")).select("s.kind", "s.votes.*")
     counted = spans.groupBy("kind", *LABELERS).agg(F.count(F.lit(1)).alias("n")).collect()
     patterns = {(r["kind"], *[r[j] for j in LABELERS]): float(r["n"]) for r in counted}
     weights = train(patterns, em(patterns))
     # Numbers that fail their checksum or range are no card or address, however they look.
     # Spelled-out e-mail addresses have neither: the classifier alone decides on them.
-    sure = F.filter(F.col(name)["loose"], lambda s: (s["votes"]["check"] >= 0) & (probability(s, weights) >= accept))
-
-    def apart(spans):
-        # Of overlapping candidates of different kinds, the first kind listed stays.
-        return F.filter(spans, lambda s: ~F.exists(spans, lambda o: (o["kind"] < s["kind"]) & (o["start"] < s["end"]) & (s["start"] < o["end"])))
-
-    result = F.struct(F.col(name)["base"].alias("base"), let(sure, apart).alias("added"))
-    return rows.select(*keep, result.alias(name)), name
+    sure = F.filter(loose, lambda s: (s["votes"]["check"] >= 0) & (probability(s, weights) >= accept))
+    rows = rows.withColumn(loose, sure)
+    # Of overlapping candidates of different kinds, the first kind listed stays.
+    earlier, own, kept = fresh(rows, "_earlier", "_own", "_kept")
+    added = F.filter(loose, _of_kind(0))
+    for k in range(1, len(KINDS)):
+        rows = rows.withColumns({earlier: F.filter(loose, _of_kind(*range(k))), own: F.filter(loose, _of_kind(k))})
+        rows = apart_from(rows, own, earlier, f"{kept}{k}")
+        added = F.concat(added, F.col(f"{kept}{k}"))
+    return rows.select(*keep, F.struct(F.col(base).alias("base"), added.alias("added")).alias(name)), name
+
+
+def _of_kind(*kinds: int):
+    return lambda span: span["kind"].isin(*kinds)
 
 
 def listed(spans):
