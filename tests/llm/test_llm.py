@@ -322,6 +322,39 @@ def test_spelled_out_addresses_are_left_to_the_classifier(spark):
         assert got[i]["n_added"] == 0 and hidden[i] == text
 
 
+def test_candidates_apart_from_others(spark):
+    rnd = random.Random(10)
+
+    def spans(n):
+        out, at = [], 0
+        for _ in range(n):
+            at += rnd.randint(0, 6)
+            end = at + rnd.randint(1, 9)
+            out.append((rnd.randrange(4), at, end))
+            at = end if rnd.random() < 0.8 else at
+        return out
+
+    rows = [(i, spans(rnd.choice([0, 1, 5, 40, 700])), spans(rnd.choice([0, 1, 5, 40, 700]))) for i in range(60)]
+    kind = "array<struct<kind: int, start: bigint, end: bigint>>"
+    frame = spark.createDataFrame(rows, f"id bigint, a {kind}, b {kind}")
+    for r in pii.apart_from(frame, "a", "b", "free").collect():
+        want = [tuple(x) for x in r["a"] if not any(y["start"] < x["end"] and x["start"] < y["end"] for y in r["b"])]
+        assert sorted(tuple(x) for x in r["free"]) == sorted(want)
+
+
+def test_a_text_of_thousands_of_spans_is_no_trouble(spark):
+    import time
+
+    rnd = random.Random(11)
+    text = " ".join(f"u{rnd.randrange(10 ** 6)}@site.org (456) 555-{rnd.randrange(1000, 9999)} é" for _ in range(12_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    began = time.time()
+    row = pii.pii_table(docs).collect()[0]
+    assert time.time() - began < 120
+    spans = base_spans(text)
+    assert row["n_email"] == 12_000 and row["base_sha256"] == hashlib.sha256(",".join("%s:%d:%d" % s for s in spans).encode()).hexdigest()
+
+
 def test_toxicity_on_held_out_rows(spark):
     rnd = random.Random(4)
     clean, bad = [f"word{k}" for k in range(300)], ["grumblefoo", "zorkel", "zorkelst", "zorkelheit", "blaharg"]
