@@ -9,22 +9,27 @@ once. The search of a block ends when the projected distance of all that is left
 against the distance of the TOP-th best so far, is one that a nearer point would exceed
 only with probability 1 - CONFIDENCE.
 
-All rows are indexed in blocks of bounded size; every block sees all queries, in blocks
-of bounded size too, as the queries are a stated share of the rows. Equal vectors of a
-block are one point with the ids it stands for, so copies cannot crowd out others.
-Recall against brute force is in the README.
+All rows are indexed in blocks of bounded size. A block's rows go to one task once, which
+builds its tree once; the queries, a stated share of the rows, follow in batches, so the
+task holds a block and a batch. Every query meets every block: with nearly independent
+dimensions the boxes of blocks rule none out, as the stop within a block seldom comes
+early. Equal vectors of a block are one point with the ids it stands for, so copies
+cannot crowd out others. Recall against brute force is in the README.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite
 components take no part. Rows repeating an id and vector count once; ties go to the
-smaller id. A table with fewer candidates than TOP returns all of them.
+smaller id. An id with several vectors is a candidate with its best one, and a query
+with each of them: of what they find, the best are returned. A table with fewer
+candidates than TOP returns all of them. Columns beyond the id and the vector are not read.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,7 +38,7 @@ from tickscope.llm.common import written
 TOP, QUERY_EVERY = 20, 20
 DIMENSIONS, CONFIDENCE, SEED = 8, 0.98, 7
 LEAF, LEAVES_AT_ONCE = 64, 4
-BLOCK_ROWS, QUERY_ROWS = 16_384, 1_024
+BLOCK_ROWS, BLOCKS = 16_384, 16  # rows of a block, about, and how many blocks there are at least
 
 
 def chi_square_at(confidence: float, dimensions: int = DIMENSIONS) -> float:
@@ -141,30 +146,38 @@ def nearest(rows: DataFrame, vector: str = "embedding", top: int = TOP, query_ev
     """query_id, rank, vec_id, score: for each vector whose id ``query_every`` divides its ``top`` best."""
     kept = written(usable(rows, vector))
     square = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
-    facts = kept.agg(F.count(F.lit(1)).alias("n"), F.max(square).alias("longest"),
-                     F.count(F.when(F.col("vec_id") % query_every == 0, 1)).alias("queries")).first()
-    blocks = max(4, -(-facts["n"] // BLOCK_ROWS))
-    groups = max(2, -(-facts["queries"] // QUERY_ROWS))
+    facts = kept.agg(F.count(F.lit(1)).alias("n"), F.max(square).alias("longest")).first()
+    blocks = max(BLOCKS, -(-facts["n"] // BLOCK_ROWS))
     longest, limit = math.sqrt(facts["longest"] or 0.0), chi_square_at(confidence)
-    block, group = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(groups))
-
-    def everywhere(n):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    indexed = kept.select("vec_id", "vector", block.cast("int").alias("block"), everywhere(groups).alias("group"))
-    queries = kept.where(F.col("vec_id") % query_every == 0).select(
-        "vec_id", "vector", everywhere(blocks).alias("block"), group.cast("int").alias("group"))
-
-    def search(_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        if len(left) and len(right):
-            index = Block(left["vec_id"].to_numpy(), np.stack(left["vector"].to_numpy()), longest)
-            for query, values in zip(right["vec_id"], right["vector"]):
-                out += [(query, i, score) for i, score in index.search(int(query), np.asarray(values), top, limit)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    found = indexed.groupBy("block", "group").cogroup(queries.groupBy("block", "group")).applyInPandas(
-        search, "query_id bigint, vec_id bigint, score double")
+    own = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
+    indexed = kept.select("vec_id", "vector", own.alias("block"), F.lit(False).alias("asks"))
+    asked = kept.where(F.col("vec_id") % query_every == 0).select(
+        "vec_id", "vector", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("asks"))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ids, vectors, index = None, [], [], None
+        for batch in batches:
+            out: list[tuple] = []
+            rows = np.stack(batch.column("vector").to_numpy(zero_copy_only=False)) if batch.num_rows else []
+            for i, values, block, asks in zip(
+                    batch.column("vec_id").to_pylist(), rows, batch.column("block").to_pylist(), batch.column("asks").to_pylist()):
+                if block != at:
+                    at, ids, vectors, index = block, [], [], None
+                if not asks:
+                    ids.append(i)
+                    vectors.append(values)
+                elif ids:
+                    index = index or Block(np.array(ids, dtype=np.int64), np.stack(vectors), longest)
+                    out += [(i, other, score) for other, score in index.search(i, values, top, limit)]
+            columns = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))],
+                ["query_id", "vec_id", "score"])
+
+    # A block's rows come before the queries.
+    met = indexed.unionByName(asked).repartition("block").sortWithinPartitions("block", "asks")
+    found = met.mapInArrow(search, "query_id bigint, vec_id bigint, score double")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
