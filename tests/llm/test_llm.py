@@ -486,6 +486,35 @@ def test_neighbours(spark):
     assert few.count() == 5
 
 
+@pytest.mark.parametrize("block_rows,n", [(64, 900), (1 << 14, 3000)])
+def test_neighbours_of_ids_with_several_vectors(spark, monkeypatch, block_rows, n):
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", block_rows)
+    rng = np.random.default_rng(3)
+    v = np.round(rng.normal(size=(n, 6)), 2)
+    ids = [int(i) for i in rng.integers(0, n // 2, n)]  # most ids have more than one vector
+    ids[:40] = [20] * 40
+    extra = "rank, query_id, block, asks, score, vector"
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in zip(ids, v)], "vec_id bigint, embedding array<double>").selectExpr(
+        "*", *[f"1 AS {c}" for c in extra.split(", ")])
+    hits = total = 0
+    got = collections.defaultdict(list)
+    for r in neighbours.nearest(frame).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    for q in {i for i in ids if i % 20 == 0}:
+        scores = v @ v[[k for k, i in enumerate(ids) if i == q]].T
+        best = collections.defaultdict(lambda: -np.inf)
+        for i, s in zip(ids, scores.max(axis=1)):
+            if i != q:
+                best[i] = max(best[i], s)
+        want = sorted(best, key=lambda i: (-best[i], i))[:20]
+        own = sorted(got[q])
+        assert [r for r, _, _ in own] == list(range(1, 21)) and len({i for _, i, _ in own}) == 20
+        assert [s for _, _, s in own] == sorted((s for _, _, s in own), reverse=True)
+        assert all(s <= best[i] + 1e-9 for _, i, s in own)
+        hits, total = hits + len(set(want) & {i for _, i, _ in own}), total + 20
+    assert hits >= 0.9 * total
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], DOC)
     labels = spark.createDataFrame([], "doc_id bigint, toxic int")
