@@ -45,8 +45,8 @@ STAGES = [
     ("packing", sequence_packing),
 ]
 
-# Tokenizing and the packing's linear program are beyond SQL; tests hold each stage
-# against a brute-force version instead.
+# Tokenizing and the packing's linear program are beyond SQL. tests/llm/test_pipeline.py holds every
+# stage and the whole run against plain Python instead.
 ORACLE_SQL = None
 
 
