@@ -47,10 +47,12 @@ def trades_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def messages(events: DataFrame) -> DataFrame:
-    """Events as raw messages: trades, quotes, and six kinds of broken payloads.
+    """Events as raw messages: trades, quotes, and ten kinds of odd payloads.
 
-    purchase and click become trades, view and signup quotes; error events are
-    broken in a way picked by ``event_id % 6``, one per validation step.
+    purchase and click become trades, view and signup quotes; error events are odd in a
+    way picked by ``event_id % 10``: six fail one validation step each, one has text after
+    the object, one a number for a timestamp, and two are valid trades, with keys that
+    come twice and with a compact timestamp.
     """
     symbol = F.col("user_id").cast("string")
     size = F.get_json_object("props", "$.k").cast("double")
@@ -70,7 +72,9 @@ def messages(events: DataFrame) -> DataFrame:
         "ask_price": price + 0.5, "ask_size": size, "ask_exchange": F.lit("V"),
     }
     no_price = {k: v for k, v in trade.items() if k != "price"}
-    kind = F.col("event_id") % 6
+    kind = F.col("event_id") % 10
+    compact = F.date_format(F.col("ts").cast("timestamp"), "yyyyMMdd'T'HHmmss.SSSSSS'Z'")
+    whole = body(type=F.lit("trade"), **trade)
     text = (
         F.when(F.col("event_type").isin("purchase", "click"), body(type=F.lit("trade"), **trade))
         .when(F.col("event_type").isin("view", "signup"), body(type=F.lit("quote"), **quote))
@@ -79,6 +83,10 @@ def messages(events: DataFrame) -> DataFrame:
         .when(kind == 3, body(type=F.lit("bar"), **trade))
         .when(kind == 4, body(type=F.lit("trade"), **no_price))
         .when(kind == 5, body(type=F.lit("trade"), **{**trade, "timestamp": F.lit("not-a-timestamp")}))
+        .when(kind == 6, F.concat(whole, F.lit(" and more")))
+        .when(kind == 7, F.concat(F.lit('{"symbol":"another","price":-1.0,'), F.substr(whole, F.lit(2))))
+        .when(kind == 8, body(type=F.lit("trade"), **{**trade, "timestamp": F.lit(5)}))
+        .when(kind == 9, body(type=F.lit("trade"), **{**trade, "timestamp": compact}))
     )
     broken = F.concat(F.unhex(F.lit("FFFE")), F.col("props").cast("binary"))
     # Out of a generator, so that filters on the value do not repeat making it.

@@ -83,15 +83,17 @@ def _iso(column: str) -> str:
 MESSAGES = f"""
 messages AS (
   SELECT event_id, CAST(user_id AS VARCHAR) AS symbol, CAST(user_id % 6 AS INTEGER) AS "partition",
-    ts, value, CAST(props->>'$.k' AS DOUBLE) AS size, props, event_type, event_id % 6 AS broken,
+    ts, value, CAST(props->>'$.k' AS DOUBLE) AS size, props, event_type, event_id % 10 AS broken,
     CASE WHEN event_type IN ('purchase', 'click') THEN 'trade'
-         WHEN event_type IN ('view', 'signup') THEN 'quote' END AS type,
-    CASE WHEN event_type <> 'error' THEN NULL
-         WHEN event_id % 6 = 0 THEN 'not valid utf-8: undecodable bytes'
-         WHEN event_id % 6 = 1 THEN 'not valid json: malformed text'
-         WHEN event_id % 6 = 2 THEN 'expected a JSON object, got list'
-         WHEN event_id % 6 = 3 THEN 'unknown tick type: ''bar'''
-         WHEN event_id % 6 = 4 THEN 'missing required field(s): [''price'']'
+         WHEN event_type IN ('view', 'signup') THEN 'quote'
+         WHEN event_id % 10 IN (7, 9) THEN 'trade' END AS type,
+    CASE WHEN event_type <> 'error' OR event_id % 10 IN (7, 9) THEN NULL
+         WHEN event_id % 10 = 0 THEN 'not valid utf-8: undecodable bytes'
+         WHEN event_id % 10 IN (1, 6) THEN 'not valid json: malformed text'
+         WHEN event_id % 10 = 2 THEN 'expected a JSON object, got list'
+         WHEN event_id % 10 = 3 THEN 'unknown tick type: ''bar'''
+         WHEN event_id % 10 = 4 THEN 'missing required field(s): [''price'']'
+         WHEN event_id % 10 = 8 THEN 'invalid timestamp: 5'
          ELSE 'invalid timestamp: ''not-a-timestamp''' END AS error
   FROM events)"""
 
@@ -108,10 +110,12 @@ bad AS (
     WHEN 2 THEN encode('[' || props || ']')
     WHEN 3 THEN encode({_HEAD.format(ts=_iso('ts'), kind='bar')} || {_PRICE} || {_TAIL})
     WHEN 4 THEN encode({_HEAD.format(ts=_iso('ts'), kind='trade')} || {_TAIL})
+    WHEN 6 THEN encode({_HEAD.format(ts=_iso('ts'), kind='trade')} || {_PRICE} || {_TAIL} || ' and more')
+    WHEN 8 THEN encode(replace({_HEAD.format(ts="'?'", kind='trade')}, '"?"', '5') || {_PRICE} || {_TAIL})
     ELSE encode({_HEAD.format(ts="'not-a-timestamp'", kind='trade')} || {_PRICE} || {_TAIL})
   END AS raw,
   'market-ticks[' || "partition" || ']@' || event_id AS location
-  FROM messages WHERE event_type = 'error')"""
+  FROM messages WHERE error IS NOT NULL)"""
 
 
 def _regimes(prefix: str = "") -> str:
@@ -396,7 +400,7 @@ FROM messages WHERE error IS NULL""",
     "latest_ticks_feed": f"""WITH {MESSAGES}
 SELECT event_id AS arrival, symbol AS key,
   CASE WHEN event_type <> 'error' THEN type WHEN broken = 3 THEN 'bar' WHEN broken > 3 THEN 'trade' END AS type
-FROM messages WHERE event_type <> 'error' OR broken > 1
+FROM messages WHERE event_type <> 'error' OR broken NOT IN (0, 1, 6)
 ORDER BY event_id DESC LIMIT 50""",
     "waiting_messages": f"""WITH {MESSAGES},
 seen AS (SELECT user_id, max(event_id) FILTER (WHERE event_type = 'purchase') AS last FROM events GROUP BY user_id)
@@ -476,8 +480,8 @@ SELECT 'market-ticks' AS topic, symbol AS key, hex(raw) AS value_hex, location,
        CASE WHEN event_id <= (SELECT max(event_id) // 2 FROM events) THEN 1 ELSE 2 END AS run FROM bad"""
 ORACLES["late_subscriber_feed"] = f"""WITH {MESSAGES}
 SELECT event_id, symbol AS key, CASE WHEN event_type = 'error' AND broken = 3 THEN 'bar'
-         WHEN event_type = 'error' AND broken IN (4, 5) THEN 'trade' ELSE type END AS type
-FROM messages WHERE event_id > (SELECT max(event_id) // 2 FROM events) AND (event_type <> 'error' OR broken >= 2)
+         WHEN event_type = 'error' AND broken IN (4, 5, 8) THEN 'trade' ELSE type END AS type
+FROM messages WHERE event_id > (SELECT max(event_id) // 2 FROM events) AND (event_type <> 'error' OR broken NOT IN (0, 1, 6))
 ORDER BY ts DESC, "partition" DESC, event_id DESC LIMIT 50"""
 ORACLES["streamed_drain"] = """
 SELECT count(*) AS burst_size, CAST(count(*) AS DOUBLE) AS produce_rate, TRUE AS peak_below_burst, TRUE AS drained
@@ -489,4 +493,4 @@ SELECT event_id, 'market-ticks' AS topic, symbol AS key, type, {_iso("(ts - INTE
   CASE type WHEN 'quote' THEN value END AS bid_price, CASE type WHEN 'quote' THEN value + 0.5 END AS ask_price,
   CASE type WHEN 'quote' THEN size END AS ask_size, '["@","I"]' AS conditions, 'C' AS tape,
   CASE type WHEN 'trade' THEN 9 ELSE 11 END AS n_fields
-FROM messages WHERE type IS NOT NULL"""
+FROM messages WHERE event_type <> 'error'"""
