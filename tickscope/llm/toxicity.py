@@ -158,11 +158,14 @@ def learn_features(documents: list[tuple[list[str], int]]) -> dict[str, float]:
 
 
 def train(sample: list[tuple[str, int]], rounds: int = 60) -> Model:
-    documents = [([normal(w) for w in text.split()], label) for text, label in sample]
+    # Equal words share one object, and so do their features: the sample has millions of tokens.
+    cleaned: dict[str, str] = {}
+    documents = [([cleaned.get(w) or cleaned.setdefault(w, normal(w)) for w in text.split()], label) for text, label in sample]
     toxic = learn_features(documents)
     names = {name: i for i, name in enumerate(toxic)}
     sizes = np.array([len(w) for w, _ in documents], dtype=np.int64)
-    found = [[names[f] for f in features_of(w) if f in names] for w in chain.from_iterable(w for w, _ in documents)]
+    marked = {w: [names[f] for f in features_of(w) if f in names] for w in set(cleaned.values())}
+    found = [marked[w] for w in chain.from_iterable(w for w, _ in documents)]
     place, lengths = chains(np.array([len(f) for f in found], dtype=float), sizes)
     found = [found[i] for i in place]
     of_token = np.repeat(np.arange(len(found)), [len(f) for f in found])
