@@ -38,7 +38,7 @@ from tickscope.llm.common import written
 TOP, QUERY_EVERY = 20, 20
 DIMENSIONS, CONFIDENCE, SEED = 8, 0.98, 7
 LEAF, LEAVES_AT_ONCE = 64, 4
-BLOCK_ROWS, BLOCKS = 16_384, 16  # rows of a block, about, and how many blocks there are at least
+BLOCK_ROWS, BLOCKS = 16_384, 4  # rows of a block, about, and how many blocks there are at least
 
 
 def chi_square_at(confidence: float, dimensions: int = DIMENSIONS) -> float:
