@@ -5,6 +5,7 @@ import json
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,8 +17,8 @@ from tickscope.sources.anomaly_table import AnomalyTable
 from tickscope.sources.batch_table import BatchTable
 from tickscope.sources.messages import next_offsets, read_messages, start_writing, stream_messages, write_messages
 from tickscope.streaming import jobs
-from tickscope.streaming.detector import TRADE, WAITING_NAME, detect, freshness_from_state, model_state
-from tickscope.streaming.ordered import OrderedRows
+from tickscope.streaming.detector import TRADE, WAITING_NAME, WindowDetector, detect, freshness_from_state, model_state
+from tickscope.streaming.ordered import MemoryStore, OrderedRows
 from tickscope.streaming.progress import ProgressLog, backlog_samples, lag_samples
 
 PARAMS = DetectorParams(window_seconds=4.0, z_threshold=1.5, warmup=10, lookback=12)
@@ -332,3 +333,85 @@ def test_starting_latest_skips_what_is_there(spark, spiky, tmp_path):
         available_now=True,
     ).awaitTermination(120)
     assert seen == [b"{}"]
+
+
+class CountingStore(MemoryStore):
+    puts = 0
+
+    def put(self, name, data):
+        assert name not in self
+        self.puts += 1
+        self[name] = data
+
+    def take(self, name):
+        return self.pop(name)
+
+
+@pytest.mark.parametrize("order", ["in order", "backwards", "overlapping", "any", "one value"])
+def test_waiting_pieces_are_as_long_as_memory_allows(order):
+    n, limit, ways = 20_000, 100, 4
+    rng = np.random.default_rng(2)
+    values = {
+        "in order": np.arange(n), "backwards": np.arange(n)[::-1], "overlapping": np.arange(n) + rng.integers(0, 50, n),
+        "any": rng.permutation(n), "one value": np.full(n, 7),
+    }[order]
+    rows = np.zeros(n, TRADE)
+    rows["arrival"], rows["size"] = values, np.arange(n)
+    store = CountingStore()
+    ordered = OrderedRows(store, "arrival", limit)
+    for at in range(0, n, 1000):
+        ordered.add(rows[at:at + 1000])
+    parts = list(ordered.in_order())
+    assert [len(part) for part in parts] == [limit] * (n // limit) and not store
+    got = np.concatenate(parts)
+    assert (got["arrival"] == np.sort(values)).all() and (values[got["size"].astype(int)] == got["arrival"]).all()
+    pieces, passes = n // limit, {"overlapping": 1, "any": 5}.get(order, 0)
+    assert store.puts <= pieces * (1 + ways * passes)
+
+
+def test_few_rows_in_memory_need_no_frame_and_state_call_for_every_few_trades():
+    class State(dict):
+        calls = 0
+
+        def updateValue(self, key, value):
+            self.calls += 1
+            self[key] = value
+
+        def getValue(self, key):
+            self.calls += 1
+            return self[key]
+
+        def removeKey(self, key):
+            self.calls += 1
+            del self[key]
+
+        def exists(self):
+            return False
+
+        def update(self, value):
+            self["saved"] = value
+
+    class Handle:
+        series, waiting = State(), State()
+
+        def getValueState(self, name, schema):
+            return self.series
+
+        def getMapState(self, name, key, value):
+            return self.waiting
+
+    def run(rows_in_memory):
+        detector, handle = WindowDetector(PARAMS, rows_in_memory), Handle()
+        handle.series, handle.waiting = State(), State()
+        detector.init(handle)
+        frames = list(detector.handleInputRows(("A",), iter([trades[:4000], trades[4000:]]), None))
+        return pd.concat(frames, ignore_index=True), frames, handle
+
+    at = np.arange(10_000)
+    trades = pd.DataFrame({"arrival": at, "ts_us": at * 700_000, "price": 50.0 + at % 13, "size": 1.0 + at * 7 % 11})
+    want, _, whole = run(1 << 18)
+    got, frames, handle = run(100)
+    pd.testing.assert_frame_equal(got, want)
+    assert len(got) > 1500 and list(map(len, frames)) == [len(got)]
+    assert not handle.waiting and handle.waiting.calls == 3 * 100
+    assert handle.series["saved"][:2] == whole.series["saved"][:2]

@@ -16,6 +16,7 @@ from tickscope.streaming.ordered import ROWS_IN_MEMORY, OrderedRows
 STATE_NAME, WAITING_NAME = "series", "waiting"
 STATE_FIELDS = [part.split(" ", 1) for part in STATE.split(", ")]
 OUTPUT_NAMES = [part.split()[0] for part in OUTPUT.split(", ")]
+ROWS_PER_FRAME = 1 << 12  # closed windows that leave together
 TRADE = np.dtype([("arrival", "<i8"), ("ts_us", "<i8"), ("price", "<f8"), ("size", "<f8")])
 
 
@@ -38,8 +39,8 @@ class WindowDetector(StatefulProcessor):
     """Keeps a symbol's open window and model state between micro-batches.
 
     Rows of a symbol arrive in shuffle order. Up to ``rows_in_memory`` are put in arrival
-    order at once; more of them wait in the state store in pieces by arrival, and are fed
-    to the series piece by piece, so a symbol may fill a micro-batch of any size.
+    order at once; more of them wait in the state store in ordered pieces, and are fed to
+    the series part by part, so a symbol may fill a micro-batch of any size.
     """
 
     def __init__(self, params: DetectorParams = DetectorParams(), rows_in_memory: int = ROWS_IN_MEMORY):
@@ -54,12 +55,14 @@ class WindowDetector(StatefulProcessor):
         for frame in rows:
             ordered.add(_trades(frame))
         series = SymbolSeries(self.params, self.series.get() if self.series.exists() else None)
+        closed = []
         for trades in ordered.in_order():
-            closed = series.feed(trades["ts_us"], trades["price"], trades["size"])
-            frame = pd.DataFrame([(key[0], *row) for row in closed], columns=OUTPUT_NAMES)
-            yield frame.astype({
-                n: "float64" for n in OUTPUT_NAMES if n.startswith(("realized", "score", "anomaly", "change"))
-            })
+            closed += series.feed(trades["ts_us"], trades["price"], trades["size"])
+            if len(closed) >= ROWS_PER_FRAME:
+                yield _scored(key[0], closed)
+                closed = []
+        if closed:
+            yield _scored(key[0], closed)
         self.series.update(series.state())
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
@@ -70,6 +73,13 @@ class WindowDetector(StatefulProcessor):
         pass
 
 
+def _scored(symbol: str, closed: list[tuple]) -> pd.DataFrame:
+    frame = pd.DataFrame([(symbol, *row) for row in closed], columns=OUTPUT_NAMES)
+    return frame.astype({
+        n: "float64" for n in OUTPUT_NAMES if n.startswith(("realized", "score", "anomaly", "change"))
+    })
+
+
 def _trades(frame: pd.DataFrame) -> np.ndarray:
     out = np.empty(len(frame), TRADE)
     for name in TRADE.names:
@@ -95,7 +105,9 @@ def detect(
 ) -> DataFrame:
     """Scored windows of a streaming trade frame (symbol, arrival, ts, price, size).
 
-    ``initial``: `model_state` of an earlier query, to go on from with a new checkpoint.
+    ``initial``: `model_state` of an earlier query, to go on from with a new checkpoint. Spark
+    hands it over in the first micro-batch, whose rows then come slowly and a symbol's all at
+    once; make that an empty one.
     """
     rows = trades.select(
         "symbol", F.col("arrival").cast("bigint").alias("arrival"),
