@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import os
 import random
 
 import numpy as np
@@ -13,6 +14,8 @@ from tests.plain import random_trades
 from tickscope import schemas as S
 from tickscope.functions.series import DetectorParams
 from tickscope.operators import anchored, delivery, events
+from tickscope.plans import queries
+from tickscope.plans.queries import registry
 from tickscope.sources.anomaly_table import AnomalyTable
 from tickscope.sources.batch_table import BatchTable
 from tickscope.sources.messages import next_offsets, read_messages, start_writing, stream_messages, write_messages
@@ -415,3 +418,29 @@ def test_few_rows_in_memory_need_no_frame_and_state_call_for_every_few_trades():
     assert len(got) > 1500 and list(map(len, frames)) == [len(got)]
     assert not handle.waiting and handle.waiting.calls == 3 * 100
     assert handle.series["saved"][:2] == whole.series["saved"][:2]
+
+
+def test_resumed_scores_and_freshness_take_the_state_over_without_rows_beside_it(spark, tmp_path):
+    rng = random.Random(3)
+    start = dt.datetime(2024, 1, 1)
+    rows = [
+        (i, start + dt.timedelta(seconds=200 * i + rng.randrange(400)), i % 7, "ab"[i % 2], 1.0 + rng.random(),
+         json.dumps({"k": rng.randrange(1, 90)}))
+        for i in range(2400)
+    ]
+    rng.shuffle(rows)
+    spark.createDataFrame(rows, queries.EVENTS).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    scores, checkpoint = queries._resumed(spark, str(tmp_path))
+    batches = [n for n in os.listdir(f"{checkpoint.removeprefix('file:')}/commits") if n.isdigit()]
+    assert sorted(batches) == ["0", "1"]
+    saved = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "series")
+    handed = saved.option("batchId", 0).load().select("key.symbol", "value.window_index").collect()
+    assert {r["symbol"] for r in handed} == {"a", "b"} and all(r["window_index"] > 100 for r in handed)
+    wanted = registry()["volume_scores"](spark, str(tmp_path))
+    got = registry()["resumed_window_scores"](spark, str(tmp_path)).select(*wanted.columns)
+    assert wanted.count() > 300 and scores.count() == got.count()
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, wanted.collect()), key=str)
+    fresh = registry()["freshness_from_saved_state"](spark, str(tmp_path))
+    assert sorted(map(tuple, fresh.collect())) == sorted(
+        (s, max(r["end"] for r in scores.select("symbol", F.unix_micros("window_end").alias("end")).collect() if r["symbol"] == s))
+        for s in "ab")
